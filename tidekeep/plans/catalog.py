@@ -1,0 +1,4 @@
+"""The library's registered queries and the SQL that gives the same rows."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
