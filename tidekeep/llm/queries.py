@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidekeep.llm import quality_rules, simhash
+from tidekeep.llm import packing, quality_rules, simhash
 from tidekeep.llm.common import read
 
 
@@ -14,12 +14,24 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3)
 
 
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public tokenizer's file, on this machine as on the executors'."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing(read(spark, sf_dir, "documents"), tokenizer())
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents")).select(*quality_rules.COLUMNS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
 }
 
