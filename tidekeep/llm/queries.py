@@ -5,15 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidekeep.llm import packing, quality_rules, simhash
+from tidekeep.llm import chat_format, kdtree, packing, quality_rules, simhash, url_filter
 from tidekeep.llm.common import read
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(read(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3)
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels: pages whose id has a label of low quality count as block."""
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("block"))
+    return url_filter.url_filter(read(spark, sf_dir, "pages").select("page_id", "url"), labels).select("page_id", "host", "path", "rule", "verdict")
+
+
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
     """Path of a public tokenizer's file, on this machine as on the executors'."""
     import public_tokenizers
@@ -29,10 +40,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents")).select(*quality_rules.COLUMNS)
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(probe)
+    return chat_format.digests(chat_format.formatted(rows, tokenizer("byte_bpe_50k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op6_url_filter": op6_url_filter,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {}
