@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidekeep.llm import chat_format, kdtree, packing, quality_rules, simhash, url_filter
+from tidekeep.llm import chat_format, kdtree, mixing, packing, quality_rules, simhash, url_filter
 from tidekeep.llm.common import read
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of a document in the mix: its pass, block and order, with its source's weight."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    planned = mixing.plan(docs, min_entropy=0.95, max_passes=4.0)
+    rows = mixing.mix(docs.select("doc_id", "source"), planned)
+    weights = planned.select(F.col("mix_source").alias("_of"), "exponent", F.round("weight", 9).alias("weight"), "quota")
+    named = rows.withColumn("_key", F.coalesce("source", F.lit(mixing.NONE)))
+    return named.join(weights, F.col("_key") == F.col("_of")).select("doc_id", "source", "mix_epoch", "mix_block", "mix_order", "exponent", "weight", "quota")
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(read(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -48,6 +58,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_url_filter": op6_url_filter,
