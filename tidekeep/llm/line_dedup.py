@@ -1,0 +1,216 @@
+"""Near-duplicate lines by a segment-partition edit join.
+
+Lines are compared without the white space at their ends; those of at least MIN_CHARS characters take part.  Two lines
+are linked if at most `errors` single-character edits lie between them.  A line is indexed by errors + 1 segments, one of
+which survives any such edits; it probes the segments of its own and of smaller lengths at the places that a match may
+have shifted to.  Lines that share a segment are candidates, verified by banded bit-parallel edit distance.
+
+Equal lines count once, by a 64-bit hash of their text.  Candidates of a key with more than RUN lines aren't listed in
+pairs: its lines are dealt to blocks, pairs of blocks are compared in separate tasks, by a parity signature (an edit
+flips at most two of its bits) and then by edit distance, and only a spanning set of links leaves a task.
+
+Defined cases: null texts have no lines; lines shorter than MIN_CHARS are never linked or dropped; the first line of a
+class by (doc_id, line_no) is kept (null ids come last); rows that repeat a doc_id share the fate of that document's
+lines of equal number and class; an empty table gives an empty table; further columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidekeep.llm.common import components, stored
+from tidekeep.llm.simhash import roots, run_pairs, runs
+
+MIN_CHARS, ERRORS = 20, 2
+#: Lines of a key whose pairs are listed, and lines of a block beyond that.
+RUN, BLOCK = 128, 512
+BLANK = " \t\r\x0b\x0c"
+#: Lines that a task remembers to have emitted.
+SEEN = 300_000
+
+
+def distance(a: str, b: str, most: int) -> int:
+    """Edit distance of a and b, or most + 1 if it is larger: one machine word that slides along the band (Hyyro 2003)."""
+    if a == b:
+        return 0
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > most:
+        return most + 1
+    lead, least = 0, len(b)
+    while lead < least and a[lead] == b[lead]:
+        lead += 1
+    tail = 0
+    while tail < least - lead and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[lead : len(a) - tail], b[lead : len(b) - tail]
+    if not b:
+        return len(a)
+    if len(a) <= most:
+        return _whole(a, b, most)
+    bits = 2 * most + 2
+    ones, top = (1 << bits) - 1, 1 << (bits - 1)
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    plus, minus, now = ones << (bits - most - 1) & ones, 0, most
+    start, side, limit = most + 1 - bits, top >> 1, most + len(b) - (len(a) - most)
+    for i, c in enumerate(b):
+        found = places.get(c, 0)
+        x = (found >> start if start >= 0 else found << -start) & ones
+        d = ((((x & plus) + plus) ^ plus) | x | minus) & ones
+        up, down = (minus | ~(d | plus)) & ones, d & plus
+        if i < len(a) - most:
+            now += not d & top
+        else:
+            now += bool(up & side) - bool(down & side)
+            side >>= 1
+        if now > limit:
+            return most + 1
+        plus, minus = (down | ~(d >> 1 | up)) & ones, d >> 1 & up
+        start += 1
+    return now if now <= most else most + 1
+
+
+def _whole(a: str, b: str, most: int) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return min(row[-1], most + 1)
+
+
+def segments(length: int, errors: int) -> list[tuple[int, int]]:
+    """(start, characters) of the errors + 1 segments of a line: even, the longer ones last."""
+    n = errors + 1
+    short, longer = divmod(length, n)
+    out, at = [], 0
+    for i in range(n):
+        size = short + (i >= n - longer)
+        out.append((at, size))
+        at += size
+    return out
+
+
+def line_keys(line: str, errors: int) -> Iterator[tuple[int, bool]]:
+    """(key, whether it is one of the line's own segments): the segment's number, the line length and the substring."""
+    size = len(line)
+    for other in range(max(errors + 1, size - errors), size + 1):
+        shift = size - other
+        for i, (at, n) in enumerate(segments(other, errors)):
+            low = max(0, at - i, at + shift - (errors - i))
+            high = min(size - n, at + i, at + shift + (errors - i))
+            for p in range(low, high + 1):
+                yield xxhash.xxh64_intdigest(line[p : p + n].encode("utf-8", "surrogatepass"), (other << 3) | i), shift == 0 and p == at
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """64 parity bits for each line, of the characters by their code modulo 64."""
+    out = np.zeros(len(lines), np.uint64)
+    for k, line in enumerate(lines):
+        counts = np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") & 63, minlength=64) & 1
+        out[k] = np.packbits(counts.astype(np.uint8), bitorder="little").view("<u8")[0]
+    return out
+
+
+def lines(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, line_no (from 0), line, h: the lines that take part."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text).cast("string"), "\n", -1)).alias("line_no", "line"))
+    rows = rows.withColumn("line", F.btrim("line", F.lit(BLANK))).where(F.length("line") >= min_chars)
+    return rows.withColumn("h", F.xxhash64("line"))
+
+
+def links(docs: DataFrame, min_chars: int = MIN_CHARS, errors: int = ERRORS, text: str = "text", run: int = RUN, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of hashes of distinct lines: they connect just what lines within `errors` edits connect."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            keys, names, own = [], [], []
+            for t in b.column(0).to_pylist():
+                for raw in (t or "").split("\n"):
+                    line = raw.strip(BLANK)
+                    if len(line) < min_chars:
+                        continue
+                    h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
+                    if h in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(h)
+                    for k, mine in line_keys(line, errors):
+                        keys.append(k)
+                        names.append(h)
+                        own.append(mine)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(own)], ["key", "h", "own"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for long, (key, h, own) in runs(batches, run):
+            if long:
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h), pa.array(key)], ["a", "b", "key"])
+                continue
+            i, j = run_pairs(key, lambda i, j: (own[i] | own[j]) & (h[i] != h[j]))  # noqa: B023
+            pairs = np.unique(np.stack([np.minimum(h[i], h[j]), np.maximum(h[i], h[j])], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())], ["a", "b", "key"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fine = np.array([distance(x, y, errors) <= errors for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], dtype=bool)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(fine)) for c in b.columns[:2]], ["a", "b"])
+
+    def cell(frame):
+        import pandas as pd
+
+        names, own = frame["h"].to_numpy(), frame["line"].tolist()
+        sign = signatures(own)
+        found: list[tuple[int, int]] = []
+        for i in range(len(own) - 1):
+            near = i + 1 + np.flatnonzero(np.bitwise_count(sign[i + 1 :] ^ sign[i]) <= 2 * errors)
+            found += [(i, int(j)) for j in near if names[i] != names[j] and distance(own[i], own[j], errors) <= errors]
+        label = roots(len(own), *(np.array(x, dtype=np.int64) for x in (zip(*found, strict=True) if found else ((), ()))))
+        linked = np.flatnonzero(label != np.arange(len(own)))
+        return pd.DataFrame({"a": names[linked], "b": names[label[linked]]})
+
+    body = docs.select(F.col(text).cast("string").alias("text"))
+    keyed = body.mapInArrow(emit, "key long, h long, own boolean")
+    found = stored(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long, key long").distinct(), "line-candidates")
+    needed = found.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    texts = lines(docs.select(F.lit(0).alias("doc_id"), F.col(text).alias("text")), min_chars).select("h", "line")
+    texts = stored(texts.join(needed, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")), "line-texts")
+    pairs = found.where("key is null").select("a", "b")
+    pairs = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
+    direct = pairs.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    hot = found.where("key is not null").select("key", F.col("a").alias("h"))
+    blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    dealt = hot.join(blocks, "key").withColumn("at", F.pmod("h", "n").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cells = dealt.join(texts, "h").groupBy("key", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"))
+    return direct.union(cells.applyInPandas(cell, "a long, b long"))
+
+
+def classes(docs: DataFrame, min_chars: int = MIN_CHARS, errors: int = ERRORS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row per line that takes part: doc_id, line_no, n_chars, class_doc_id and class_line_no (its class's first line), kept."""
+    own = lines(docs, min_chars, text, key).select("doc_id", "line_no", F.length("line").cast("long").alias("n_chars"), "h")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
+    least = stored(own.groupBy("h").agg(F.min(place).alias("first")), "line-first")
+    parts = components(links(docs, min_chars, errors, text))
+    named = least.join(parts, least.h == parts.node, "left").select("h", "first", F.coalesce("root", "h").alias("root"))
+    firsts = named.groupBy("root").agg(F.min("first").alias("head"))
+    by_h = named.join(firsts, "root").select("h", "head")
+    out = own.join(by_h, "h").select("doc_id", "line_no", "n_chars", F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").alias("class_line_no"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no")))
+
+
+def without_repeats(docs: DataFrame, classed: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with the lines that classes() doesn't keep taken out of the text; documents without such lines stay as they are."""
+    drop = classed.where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("_drop")).withColumnRenamed("doc_id", "_doc")
+    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("_drop", i))
+    joined = docs.join(drop, F.col(key).cast("long").eqNullSafe(F.col("_doc")), "left")
+    return joined.withColumn(text, F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).drop("_doc", "_drop")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidekeep.llm import chat_format, kdtree, mixing, packing, quality_rules, simhash, url_filter
+from tidekeep.llm import chat_format, kdtree, line_dedup, mixing, packing, quality_rules, simhash, url_filter
 from tidekeep.llm.common import read
 
 
@@ -29,6 +29,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line with the first line of its class of near-equal lines."""
+    return line_dedup.classes(read(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels: pages whose id has a label of low quality count as block."""
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("block"))
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
