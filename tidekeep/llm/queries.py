@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidekeep.llm import chat_format, kdtree, line_dedup, mixing, packing, quality_rules, simhash, url_filter
+from tidekeep.llm import chat_format, kdtree, line_dedup, mixing, ngram_model, packing, quality_rules, simhash, toxicity, url_filter
 from tidekeep.llm.common import read
 
 
@@ -21,6 +21,15 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(weights, F.col("_key") == F.col("_of")).select("doc_id", "source", "mix_epoch", "mix_block", "mix_order", "exponent", "weight", "quota")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of a fifth of the documents, by crc32 of the id, are held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lambda c: F.pmod(F.crc32(c.cast("string")), F.lit(5)) == 0
+    labels = read(spark, sf_dir, "labels").where(~out(F.col("doc_id")))
+    scored = toxicity.score(docs, *toxicity.learn(docs, labels))
+    return scored.select("doc_id", out(F.col("doc_id")).alias("held_out"), "score", "predicted", "hits")
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(read(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -55,6 +64,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents")).select(*quality_rules.COLUMNS)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted text: documents labelled of good quality."""
+    labels = read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("trusted"))
+    return ngram_model.classify(read(spark, sf_dir, "documents").select("doc_id", "lang", "text"), labels)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
@@ -64,12 +79,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_toxicity": op2_toxicity,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_format": op10_chat_format,
 }
 
