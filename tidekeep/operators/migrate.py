@@ -55,31 +55,36 @@ def may_continue(state: DataFrame, me: str, epoch: int) -> DataFrame:
     return state.withColumn("go_on", (F.col("state") == "migrating") & (F.col("owner") == me) & (F.col("epoch") == epoch))
 
 
-#: The transition of one request x on state a; errors leave the state as it is.
-STEP = """if(x.action = 'start',
-    if(a.migrating, struct(a.migrating, a.epoch, a.pending, a.owner, 'rejected' as result),
-        struct(true, a.epoch + 1, false, x.addr, 'started')),
-  if(x.action = 'pending',
-    if(a.migrating, struct(a.migrating, a.epoch, true, a.owner, 'pending'), struct(a.migrating, a.epoch, a.pending, a.owner, 'not migrating')),
-  if(x.action = 'finish',
-    if(not a.migrating, struct(a.migrating, a.epoch, a.pending, a.owner, 'not migrating'),
-    if(a.owner <> x.addr, struct(a.migrating, a.epoch, a.pending, a.owner, 'wrong owner'),
-    if(a.epoch <> x.epoch, struct(a.migrating, a.epoch, a.pending, a.owner, 'wrong epoch'),
-        struct(false, a.epoch, false, '', if(a.pending, 'finished, again', 'finished'))))),
-    struct(a.migrating, a.epoch, a.pending, a.owner, 'unknown action'))))"""
+def _state(migrating: str = "a.migrating", epoch: str = "a.epoch", pending: str = "a.pending", owner: str = "a.owner", result: str = "''") -> str:
+    return f"named_struct('migrating', {migrating}, 'epoch', {epoch}, 'pending', {pending}, 'owner', {owner}, 'result', {result})"
+
+
+#: The transition of one request x on state a, as cases in order; errors leave the state as it is.
+CASES = (
+    ("x.action = 'start' and a.migrating", _state(result="'rejected'")),
+    ("x.action = 'start'", _state("true", "a.epoch + 1", "false", "x.addr", "'started'")),
+    ("x.action not in ('pending', 'finish')", _state(result="'unknown action'")),
+    ("not a.migrating", _state(result="'not migrating'")),
+    ("x.action = 'pending'", _state(pending="true", result="'pending'")),
+    ("a.owner <> x.addr", _state(result="'wrong owner'")),
+    ("a.epoch <> x.epoch", _state(result="'wrong epoch'")),
+)
+FINISH = _state("false", "a.epoch", "false", "''", "if(a.pending, 'finished, again', 'finished')")
 
 
 def state_machine(requests: DataFrame, by: str = "cluster") -> DataFrame:
     """Results of requests (cluster, seq, action, addr, epoch) on each cluster's state, in order: a compare-and-swap log.
 
-    A cluster's log of control requests is short by nature; it is folded as one array.
+    A cluster's log of control requests is short by nature; it is folded as one array, whose states are all kept.
     """
-    first = "struct(false as migrating, 0L as epoch, false as pending, '' as owner, '' as result)"
-    as_state = f"cast({STEP} as struct<migrating: boolean, epoch: bigint, pending: boolean, owner: string, result: string>)"
+    step = "case " + " ".join(f"when {when} then {then}" for when, then in CASES) + f" else {FINISH} end"
     log = requests.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("seq", "action", "addr", "epoch"))).alias("log"))
-    run = f"""aggregate(log, struct({first} as a, cast(array() as array<struct<seq: bigint, result: string, epoch: bigint, migrating: boolean, pending: boolean, owner: string>>) as out),
-        (s, x) -> transform(array(transform(array(s.a), a -> {as_state})[0]), b -> struct(b as a, concat(s.out, array(struct(cast(x.seq as bigint) as seq, b.result as result, b.epoch as epoch, b.migrating as migrating, b.pending as pending, b.owner as owner))) as out))[0], s -> s.out)"""
-    return log.select(by, F.explode(F.expr(run)).alias("r")).select(by, "r.*")
+    first = _state("false", "0L", "false", "''")
+    kind = "array<struct<migrating: boolean, epoch: bigint, pending: boolean, owner: string, result: string>>"
+    # a lambda over an array of one state names it a
+    states = f"aggregate(log, cast(array({first}) as {kind}), (s, x) -> concat(s, cast(transform(array(element_at(s, -1)), a -> {step}) as {kind})))"
+    rows = log.select(by, F.explode(F.arrays_zip(F.col("log.seq").alias("seq"), F.expr(f"slice({states}, 2, size(log))").alias("r"))).alias("z"))
+    return rows.select(by, "z.seq", "z.r.result", "z.r.epoch", "z.r.migrating", "z.r.pending", "z.r.owner")
 
 
 def activated(nodes: DataFrame) -> DataFrame:
