@@ -130,8 +130,8 @@ def test_kd_search(shape):
 
 def test_lexicon():
     lex = toxicity.Lexicon([("idiot", False), ("disgusting", False), ("lowei", True), ("bad", False)])
-    got = {w: lex.of(w) for w in ["idiot", "Xidiot".lower(), "id1ot", "idit", "(idiot)!", "idoit", "disgusting", "disgsting", "dizgustng", "loweisp", "lowe", "bad", "bed", "", "the"]}
-    assert got == {"idiot": 0, "xidiot": 1, "id1ot": 1, "idit": 1, "(idiot)!": 0, "idoit": -1, "disgusting": 0, "disgsting": 1, "dizgustng": 2, "loweisp": 0, "lowe": -1, "bad": 0, "bed": -1, "": -1, "the": -1}
+    got = {w: lex.of(w) for w in ["idiot", "Xidiot".lower(), "id1ot", "idit", "(idiot)!", "idoit", "disgusting", "disgsting", "dizgustng", "loweisp", "lowe", "low", "bad", "bed", "", "the"]}
+    assert got == {"idiot": 0, "xidiot": 1, "id1ot": 1, "idit": 1, "(idiot)!": 0, "idoit": -1, "disgusting": 0, "disgsting": 1, "dizgustng": 2, "loweisp": 0, "lowe": -1, "low": -1, "bad": 0, "bed": -1, "": -1, "the": -1}
     quoted, plain = toxicity.features(lex, 'he said "idiot" there'), toxicity.features(lex, "you idiot there")
     assert quoted[1] > 0 == quoted[0] and plain[0] > 0 == plain[1]
 
