@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidekeep.llm import chat_format, kdtree, line_dedup, mixing, ngram_model, packing, quality_rules, simhash, toxicity, url_filter
+from tidekeep.llm import chat_format, kdtree, line_dedup, mixing, ngram_model, packing, quality_rules, simhash, sql, toxicity, url_filter
 from tidekeep.llm.common import read
 
 
@@ -90,4 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": sql.MIXING,
+    "op3_exact_top_k": sql.TOP_K,
+    "op8_quality_rules": sql.QUALITY,
+    "op10_chat_format": sql.CHAT,
+}
