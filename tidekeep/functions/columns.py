@@ -77,3 +77,8 @@ def charged_size(key: Column, value: Column) -> Column:
 def epoch_us(ts: str) -> Column:
     """Microseconds since 1970 of a timestamp without time zone, whatever the session's zone."""
     return F.expr(f"datediff(to_date({ts}), date'1970-01-01') * 86400000000L + hour({ts}) * 3600000000L + minute({ts}) * 60000000L + cast(extract(second from {ts}) * 1000000 as bigint)")
+
+
+def jittered_ms(ttl_ms: Column, key: Column, seq: Column, spread_ms: int = 60_000) -> Column:
+    """A TTL moved by up to spread_ms either way, the same for the same key and seq. Off unless asked for."""
+    return ttl_ms + F.crc32(F.concat_ws("-", key, seq.cast("string"))) % (2 * spread_ms) - spread_ms

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidekeep.functions import live, remaining_ms
+from tidekeep.functions import live, remaining_ms, snowflake
 
 #: Operations of a key beyond which its history isn't held as one array.
 HOT = 100_000
@@ -171,3 +171,50 @@ def peak_concurrency(calls: DataFrame, by: str, bucket_us: int = 3_600_000_000)
     base = totals.withColumn("base", F.coalesce(F.sum("net").over(open_), F.lit(0))).drop("net")
     inside = edges.withColumn("run", F.sum("d").over(Window.partitionBy(by, "slot").orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0)))
     return inside.join(base, [by, "slot"]).groupBy(by).agg(F.max(F.col("base") + F.col("run")).alias("peak"))
+
+
+def get_many(keys: DataFrame, snapshot: DataFrame, maybe: DataFrame | None = None) -> DataFrame:
+    """Each asked key with its value and outcome: key required, absent (a Bloom filter rules it out), no key, or ok.
+
+    maybe: key and may_exist, from bloom.may_exist.
+    """
+    found = keys.join(snapshot.select("key", "value", "version", F.col("tombstone").alias("dead")), "key", "left")
+    found = found.join(maybe, "key", "left") if maybe is not None else found.withColumn("may_exist", F.lit(True))
+    gone = F.col("version").isNull() | F.coalesce("dead", F.lit(False))
+    code = F.when(F.col("key") == "", "key required").when(~F.coalesce("may_exist", F.lit(True)), "absent").when(gone, "no key").otherwise("ok")
+    return found.select("key", F.when(code == "ok", F.col("value")).alias("value"), code.alias("outcome"))
+
+
+def read_owned(keys: DataFrame, caches: DataFrame, origin: DataFrame, me: str) -> DataFrame:
+    """Reads at one node: its own cache, else the owner's (keys: key, owner), else the origin. caches: node, key, value, tombstone.
+
+    A peer's tombstone or miss falls back to the origin, as a failed call does.
+    """
+    own = caches.where(F.col("node") == me).select("key", F.col("value").alias("mine"), F.col("tombstone").alias("dead"), F.lit(True).alias("here"))
+    peer = caches.where((F.col("node") != me) & ~F.col("tombstone")).select(F.col("node").alias("owner"), "key", F.col("value").alias("theirs"), F.lit(True).alias("there"))
+    found = keys.join(own, "key", "left").join(peer, ["owner", "key"], "left").join(origin.select("key", F.col("value").alias("loaded"), F.lit(True).alias("last")), "key", "left")
+    source = F.when(F.col("dead"), "deleted").when(F.col("here"), "local").when(F.col("there"), "peer").when(F.col("last"), "origin").otherwise("miss")
+    out = found.withColumn("source", source)
+    value = F.when(F.col("source") == "local", F.col("mine")).when(F.col("source") == "peer", F.col("theirs")).when(F.col("source") == "origin", F.col("loaded"))
+    return out.select("key", "owner", "source", value.alias("value"))
+
+
+def generated(rows: DataFrame, order: str = "seq") -> DataFrame:
+    """rows (ms, worker) with a version each: a sequence number within the worker's millisecond, in the given order.
+
+    Raises where a worker makes more than 4096 in one millisecond.
+    """
+    n = F.row_number().over(Window.partitionBy("worker", "ms").orderBy(order)) - 1
+    return rows.withColumn("version", snowflake(F.col("ms"), F.col("worker"), n))
+
+
+def request_rows(ops: DataFrame, shadow: DataFrame) -> DataFrame:
+    """Rows that a write sends: one to its owner, one to the shadow owner where it is another node. ops: key, writer; shadow: key, shadow."""
+    both = ops.join(shadow.select("key", "shadow").distinct(), "key", "left")
+    targets = F.filter(F.array(F.struct(F.lit("owner").alias("kind"), F.col("writer").alias("node")), F.struct(F.lit("shadow").alias("kind"), F.col("shadow").alias("node"))), lambda t: (t["kind"] == "owner") | (t["node"].isNotNull() & (t["node"] != F.col("writer"))))
+    return both.select("*", F.explode(targets).alias("t")).select("*", "t.kind", "t.node").drop("t", "shadow")
+
+
+def write_owned(rows: DataFrame, path: str, by: str = "owner", page: int = 256) -> None:
+    """Writes a snapshot for each owner into a folder of its own; files hold `page` pages of 256 rows at most."""
+    rows.repartition(by).sortWithinPartitions(by, "key").write.mode("overwrite").option("maxRecordsPerFile", 256 * page).partitionBy(by).parquet(path)

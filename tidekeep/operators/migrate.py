@@ -90,3 +90,15 @@ def state_machine(requests: DataFrame, by: str = "cluster") -> DataFrame:
 def activated(nodes: DataFrame) -> DataFrame:
     """Nodes after a successful migration: warming ones are active."""
     return nodes.withColumn("status", F.when(F.col("status") == "warming", "active").otherwise(F.col("status")))
+
+
+def push(snapshot: DataFrame, future: DataFrame, me: str, size: int = 256) -> DataFrame:
+    """Everything a node sends when it hands over by a future ring: rows with target and batch; its own rows stay."""
+    routed = ring.route(snapshot, future, owner="target")
+    return batches(routed.where(F.col("target").isNotNull() & (F.col("target") != me)), size)
+
+
+def pull(snapshot: DataFrame, future: DataFrame, asking: str, size: int = 256) -> DataFrame:
+    """What a node gets when it asks another for its share by the future ring, in batches; no cap on rows."""
+    routed = ring.route(snapshot, future, owner="target")
+    return batches(routed.where(F.col("target") == asking), size)

@@ -64,3 +64,27 @@ def stats(tasks: DataFrame, now: int) -> DataFrame:
 def parsed(lines: DataFrame, schema: str) -> DataFrame:
     """Tasks from JSON lines (id, body), without corrupt ones."""
     return lines.select(F.from_json("body", schema).alias("t"), "body").where(F.col("t.id").isNotNull()).select("t.*")
+
+
+def dead_letters(tasks: DataFrame) -> DataFrame:
+    """Dead letters in id order."""
+    return tasks.where("dlq").orderBy("id")
+
+
+def requeued(tasks: DataFrame, ids: DataFrame, now: int) -> DataFrame:
+    """The queue after dead letters with these ids are put back: attempt 0, no error, no lease, due now. Others stay."""
+    back = tasks.join(ids.select("id", F.lit(True).alias("_back")).distinct(), "id", "left")
+    hit = F.col("dlq") & F.coalesce("_back", F.lit(False))
+    changed = {"attempt": F.lit(0), "last_err": F.lit(None).cast("string"), "leased_until": F.lit(None).cast("long"), "next_run_at": F.lit(now).cast("long"), "dlq": F.lit(False)}
+    return back.withColumn("_hit", hit).withColumns({c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in changed.items() if c in tasks.columns}).drop("_hit", "_back")
+
+
+def dispatch(stream: DataFrame, deliver, checkpoint: str):
+    """A query that hands the due tasks of each batch to deliver(DataFrame), which must bear repeats: a batch may come twice."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        now = batch.agg(F.max("seen_at")).first()[0]
+        if now is not None:
+            deliver(due(enqueued(batch), now))
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

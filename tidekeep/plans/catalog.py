@@ -528,3 +528,85 @@ def wal_codec(spark: SparkSession, d: str) -> DataFrame:
 def wal_retention(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "supplier").select(F.col("s_name").alias("file"), (F.col("s_suppkey") % 37).alias("mtime"))
     return wal.retention(files, 40, 10)
+
+
+# ---- further reads, versions, transfers
+
+
+@registered(
+    sql.query(
+        sql.ops(), sql.LWW, ASKED, f"k AS (SELECT key, {sql.fnv('key')} AS h, TRUE AS known FROM (SELECT DISTINCT key FROM lww)), q AS (SELECT key, {sql.fnv('key')} AS h FROM asked)",
+        f"f AS (SELECT DISTINCT ((h + i.range * (h >> 16)) & 4294967295) % {BITS} AS pos FROM k, range({HASHES}) i), m AS (SELECT key, bool_and(((h + i.range * (h >> 16)) & 4294967295) % {BITS} IN (SELECT pos FROM f)) AS may FROM q, range({HASHES}) i GROUP BY key)",
+        select="SELECT a.key, CASE WHEN may AND NOT l.tombstone THEN l.value END AS value, CASE WHEN NOT may THEN 'absent' WHEN l.key IS NULL OR l.tombstone THEN 'no key' ELSE 'ok' END AS outcome FROM asked a JOIN m ON a.key = m.key LEFT JOIN lww l ON a.key = l.key",
+    )
+)
+def kv_get_many(spark: SparkSession, d: str) -> DataFrame:
+    asked, snap, _ = _asked(spark, d)
+    return kv.get_many(asked, snap, bloom.may_exist(asked, bloom.build(snap.select("key"), BITS, HASHES), BITS, HASHES))
+
+
+@registered(
+    sql.query(
+        sql.CRC, sql.ops(), sql.LWW, ASKED, sql.ring("w", "active"), sql.routed("r", "asked", "w"), sql.routed("c", "lww", "w", "node"),
+        "g AS (SELECT r.key, r.owner, m.tombstone AS dead, m.key IS NOT NULL AS here, m.value AS mine, p.key IS NOT NULL AS there, p.value AS theirs, o.key IS NOT NULL AS last, o.value AS loaded FROM r "
+        f"LEFT JOIN c m ON m.key = r.key AND m.node = '{ME}' LEFT JOIN c p ON p.key = r.key AND p.node = r.owner AND p.node <> '{ME}' AND NOT p.tombstone LEFT JOIN origin o ON o.key = r.key)",
+        select="SELECT key, owner, CASE WHEN dead THEN 'deleted' WHEN here THEN 'local' WHEN there THEN 'peer' WHEN last THEN 'origin' ELSE 'miss' END AS source, CASE WHEN dead THEN NULL WHEN here THEN mine WHEN there THEN theirs WHEN last THEN loaded END AS value FROM g",
+    )
+)
+def kv_read_owned(spark: SparkSession, d: str) -> DataFrame:
+    asked, snap, origin = _asked(spark, d)
+    w = _ring(spark, "active")
+    return kv.read_owned(ring.route(asked, w), ring.route(snap, w, owner="node"), origin, ME)
+
+
+@registered("SELECT event_id AS seq, ((event_id // 100) << 22) | ((user_id % 8) << 12) | (row_number() OVER (PARTITION BY user_id % 8, event_id // 100 ORDER BY event_id) - 1) AS version FROM events")
+def snowflake_generate(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    rows = e.select(F.col("event_id").alias("seq"), (F.lit(1767225600000) + F.floor(F.col("event_id") / 100)).alias("ms"), (F.col("user_id") % 8).alias("worker"))
+    return kv.generated(rows).select("seq", "version")
+
+
+@registered(sql.query(sql.CRC, "j AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) || '-' || CAST(event_id AS VARCHAR) AS s FROM events)", select=f"SELECT seq, 300000 + {sql.crc('s')} % 120000 - 60000 AS ttl_ms FROM j, tt"))
+def ttl_jitter(spark: SparkSession, d: str) -> DataFrame:
+    ops = oplog(spark, d)
+    return ops.select("seq", fn.jittered_ms(F.lit(300_000), F.col("key"), F.col("seq")).alias("ttl_ms"))
+
+
+@registered(sql.query(sql.CRC, sql.ORDER_KEYS, sql.ring("b", "active", "warming"), sql.routed("y", "okeys", "b", "target"), select=f"SELECT key, target, CAST((row_number() OVER (PARTITION BY target ORDER BY key) + 255) // 256 AS BIGINT) AS batch FROM y WHERE target <> '{ME}'"))
+def mig_push(spark: SparkSession, d: str) -> DataFrame:
+    return migrate.push(order_keys(spark, d), _ring(spark, "active", "warming"), ME).select("key", "target", "batch")
+
+
+@registered(sql.query(sql.CRC, sql.ORDER_KEYS, sql.ring("b", "active", "warming"), sql.routed("y", "okeys", "b", "target"), select="SELECT key, CAST((row_number() OVER (ORDER BY key) + 255) // 256 AS BIGINT) AS batch FROM y WHERE target = '127.0.0.1:8004'"))
+def mig_pull(spark: SparkSession, d: str) -> DataFrame:
+    return migrate.pull(order_keys(spark, d), _ring(spark, "active", "warming"), "127.0.0.1:8004").select("key", "batch")
+
+
+@registered(sql.query(sql.CRC, sql.ORDER_KEYS, sql.ring("w", "active"), sql.ring("s", "active", "warming"), sql.routed("x", "okeys", "w", "writer"), sql.routed("y", "x", "s", "shadow"), select="SELECT kind, node, count(*) AS n FROM (SELECT 'owner' AS kind, writer AS node FROM y UNION ALL SELECT 'shadow', shadow FROM y WHERE shadow <> writer) GROUP BY ALL"))
+def shadow_rows(spark: SparkSession, d: str) -> DataFrame:
+    ops = ring.route(order_keys(spark, d), _ring(spark, "active"), owner="writer")
+    shadow = ring.route(order_keys(spark, d), _ring(spark, "active", "warming"), owner="shadow")
+    return kv.request_rows(ops, shadow).groupBy("kind", "node").agg(F.count("*").alias("n"))
+
+
+@registered(sql.query(TASKS, select="SELECT id, attempt FROM queue WHERE attempt > 10 ORDER BY id"))
+def retry_dead_letters(spark: SparkSession, d: str) -> DataFrame:
+    return retry.dead_letters(retry.enqueued(_tasks(spark, d)).withColumn("dlq", F.col("attempt") > 10)).select("id", "attempt")
+
+
+@registered(sql.query(TASKS, select="SELECT id, CASE WHEN attempt > 10 AND seq % 2 = 0 THEN 0 ELSE attempt END AS attempt, attempt > 10 AND seq % 2 = 1 AS dlq, CASE WHEN NOT (attempt > 10 AND seq % 2 = 0) THEN leased_until END AS leased_until FROM queue"))
+def retry_requeue(spark: SparkSession, d: str) -> DataFrame:
+    q = retry.enqueued(_tasks(spark, d)).withColumn("dlq", F.col("attempt") > 10)
+    return retry.requeued(q, q.where("dlq and seq % 2 = 0"), 0).select("id", "attempt", "dlq", "leased_until")
+
+
+@registered(
+    sql.query(
+        "f AS (SELECT user_id % 5 AS w, event_id AS seq, 35 + strlen(CAST(user_id AS VARCHAR)) + strlen(props) AS size, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS rn FROM events)",
+        "r(w, seq, size, rn, used, file_no) AS (SELECT w, seq, size, rn, size, 0::BIGINT FROM f WHERE rn = 1 UNION ALL SELECT f.w, f.seq, f.size, f.rn, CASE WHEN r.used + f.size > 4096 THEN f.size ELSE r.used + f.size END, CASE WHEN r.used + f.size > 4096 THEN r.file_no + 1 ELSE r.file_no END FROM r JOIN f ON f.w = r.w AND f.rn = r.rn + 1)",
+        select="SELECT CAST(w AS VARCHAR) AS writer, file_no, count(*) AS n, sum(size)::BIGINT AS bytes FROM r GROUP BY w, file_no",
+    )
+)
+def wal_rotation(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select((F.col("user_id") % 5).alias("writer"), F.col("event_id").alias("seq"), (35 + F.octet_length(F.col("user_id").cast("string")) + F.octet_length("props")).alias("size"))
+    return wal.rotation(e, 4096).groupBy("writer", "file_no").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))

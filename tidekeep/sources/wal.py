@@ -10,7 +10,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidekeep.schemas import WAL
@@ -96,3 +96,37 @@ def retention(files: DataFrame, now: int, max_age: int, max_files: int = 5) -> D
     """Rotated files (file, mtime) to delete: older than max_age, but never among the newest max_files."""
     newest = Window.orderBy(F.desc("mtime"), F.desc("file"))  # a directory's listing
     return files.withColumn("_n", F.row_number().over(newest)).where((F.col("_n") > max_files) & (F.lit(now) - F.col("mtime") > max_age)).drop("_n")
+
+
+def rotated_name(name: str, at: str = "current_timestamp()", repeat: int = 0) -> Column:
+    """Name of a rotated file: the log's with a time stamp, and a number where that is taken."""
+    stamp = F.concat(F.lit(f"{name}."), F.date_format(F.expr(at), "yyyyMMddHHmmss"))
+    return F.concat(stamp, F.lit(f".{repeat:06d}")) if repeat else stamp
+
+
+def rotation(rows: DataFrame, most: int = 256 << 20, by: str = "writer") -> DataFrame:
+    """Rows (writer, seq, size) with the number of the file they go to: a file is closed when the next frame would exceed `most` bytes."""
+    from collections.abc import Iterator as Batches
+
+    import pyarrow as pa
+
+    def run(batches: Batches[pa.RecordBatch]) -> Batches[pa.RecordBatch]:
+        writer, used, number = None, 0, 0
+        for b in batches:
+            out = []
+            for w, size in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if w != writer:
+                    writer, used, number = w, 0, 0
+                if used and used + size > most:
+                    used, number = 0, number + 1
+                used += size
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], ["writer", "seq", "size", "file_no"])
+
+    own = rows.select(F.col(by).cast("string").alias("writer"), F.col("seq").cast("long").alias("seq"), F.col("size").cast("long").alias("size"))
+    return own.repartition("writer").sortWithinPartitions("writer", "seq").mapInArrow(run, "writer string, seq long, size long, file_no long")
+
+
+def listed(files: DataFrame, name: str) -> DataFrame:
+    """Rotated files of a log, in the order in which they are replayed."""
+    return files.where(F.col("file").startswith(f"{name}.")).orderBy("file")
