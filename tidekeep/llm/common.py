@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A word: a run of anything but space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of ids that are broadcast at most.
+SENT = 2_000_000
+
 _own: dict[str, str] = {}
 
 
@@ -33,6 +36,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(ids: DataFrame, most: int = SENT) -> DataFrame:
+    """A table of a few numbers a row, to be joined to texts: broadcast up to `most` rows (some 32 MB), else shuffled like any other."""
+    ids = stored(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table that stored() wrote and nothing needs any more."""
     spark = df.sparkSession

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidekeep.llm.common import stored
+from tidekeep.llm.common import sent, stored
 
 CLASSES, ORDER, LANGUAGES = 44, 4, 16
 #: The quantile of trusted perplexities, and the share by which a document may exceed it.
@@ -171,7 +171,7 @@ def train(trusted: DataFrame, languages: int = LANGUAGES) -> dict[str, list]:
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold, kept.  labels: doc_id and trusted (boolean)."""
-    ids = labels.where("trusted").select(F.col("doc_id").cast("long").alias("_id")).distinct()
+    ids = sent(labels.where("trusted").select(F.col("doc_id").cast("long").alias("_id")).distinct())
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
     model = train(known)
     if not len(model[ALL][0][0]):
@@ -180,7 +180,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     own = F.coalesce("lang", F.lit(ALL))
     trusted = rows.join(ids, F.col("doc_id") == F.col("_id"), "left_semi").select(own.alias("of"), "perplexity")
     limit = lambda df: df.agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("threshold"))
-    by = trusted.groupBy("of").agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("threshold"))
+    # at most LANGUAGES + 1 rows; documents in further languages take the overall quantile
+    by = trusted.where(F.col("of").isin(list(model))).groupBy("of").agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("threshold"))
     overall = limit(trusted).first().threshold
-    out = rows.withColumn("_of", own).join(by, F.col("_of") == F.col("of"), "left").withColumn("threshold", F.coalesce("threshold", F.lit(overall)))
+    out = rows.withColumn("_of", own).join(F.broadcast(by), F.col("_of") == F.col("of"), "left").withColumn("threshold", F.coalesce("threshold", F.lit(overall)))
     return out.withColumn("threshold", F.col("threshold") * F.exp(F.lit(SHORT) / F.sqrt("n_symbols"))).select("doc_id", "lang", "n_symbols", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), (F.col("perplexity") <= F.col("threshold")).alias("kept"))
