@@ -29,7 +29,7 @@ CLASSES, ORDER, LANGUAGES = 44, 4, 16
 #: The quantile of trusted perplexities, and the share by which a document may exceed it.
 QUANTILE, SLACK = 0.99, 1.15
 #: Short texts vary more: the threshold of a text of n symbols is multiplied by exp(SHORT / sqrt(n)).
-SHORT = 1.5
+SHORT = 2.2
 ALL = "*"
 START, END = 0, 1
 
