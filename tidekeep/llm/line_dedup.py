@@ -3,7 +3,8 @@
 Lines are compared without the white space at their ends; those of at least MIN_CHARS characters take part.  Two lines
 are linked if at most `errors` single-character edits lie between them.  A line is indexed by errors + 1 segments, one of
 which survives any such edits; it probes the segments of its own and of smaller lengths at the places that a match may
-have shifted to.  Lines that share a segment are candidates, verified by banded bit-parallel edit distance.
+have shifted to.  Lines that share a segment are candidates if their parity signatures allow it (an edit flips at most two
+bits), and are then verified by banded bit-parallel edit distance.
 
 Equal lines count once, by a 64-bit hash of their text.  Candidates of a key with more than RUN lines aren't listed in
 pairs: its lines are dealt to blocks, pairs of blocks are compared in separate tasks, by a parity signature (an edit
@@ -133,7 +134,7 @@ def links(docs: DataFrame, min_chars: int = MIN_CHARS, errors: int = ERRORS, tex
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            keys, names, own = [], [], []
+            keys, names, marks, fresh = [], [], [], []
             for t in b.column(0).to_pylist():
                 for raw in (t or "").split("\n"):
                     line = raw.strip(BLANK)
@@ -145,19 +146,23 @@ def links(docs: DataFrame, min_chars: int = MIN_CHARS, errors: int = ERRORS, tex
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(h)
-                    for k, mine in line_keys(line, errors):
-                        keys.append(k)
-                        names.append(h)
-                        own.append(mine)
+                    fresh.append((h, line))
+            for (h, line), sign in zip(fresh, signatures([x for _, x in fresh]).tolist(), strict=True):
+                mark = ((sign ^ sign >> 32) & 0xFFFFFFFF) << 1
+                for k, mine in line_keys(line, errors):
+                    keys.append(k)
+                    names.append(h)
+                    marks.append(mark | mine)
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(own)], ["key", "h", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(np.array(marks, np.int64))], ["key", "h", "mark"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for long, (key, h, own) in runs(batches, run):
+        for long, (key, h, mark) in runs(batches, run):
             if long:
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h), pa.array(key)], ["a", "b", "key"])
                 continue
-            i, j = run_pairs(key, lambda i, j: (own[i] | own[j]) & (h[i] != h[j]))  # noqa: B023
+            fine = lambda i, j: ((mark[i] | mark[j]) & 1 == 1) & (h[i] != h[j]) & (np.bitwise_count((mark[i] ^ mark[j]) >> 1) <= 2 * errors)  # noqa: B023, E731
+            i, j = run_pairs(key, fine)
             pairs = np.unique(np.stack([np.minimum(h[i], h[j]), np.maximum(h[i], h[j])], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())], ["a", "b", "key"])
 
@@ -180,7 +185,7 @@ def links(docs: DataFrame, min_chars: int = MIN_CHARS, errors: int = ERRORS, tex
         return pd.DataFrame({"a": names[linked], "b": names[label[linked]]})
 
     body = docs.select(F.col(text).cast("string").alias("text"))
-    keyed = body.mapInArrow(emit, "key long, h long, own boolean")
+    keyed = body.mapInArrow(emit, "key long, h long, mark long")
     found = stored(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long, key long").distinct(), "line-candidates")
     needed = found.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     texts = lines(docs.select(F.lit(0).alias("doc_id"), F.col(text).alias("text")), min_chars).select("h", "line")
