@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidekeep.llm.common import components, stored
+from tidekeep.llm.common import components, sent, stored
 from tidekeep.llm.simhash import roots, run_pairs, runs
 
 MIN_CHARS, ERRORS = 20, 2
@@ -187,7 +187,7 @@ def links(docs: DataFrame, min_chars: int = MIN_CHARS, errors: int = ERRORS, tex
     body = docs.select(F.col(text).cast("string").alias("text"))
     keyed = body.mapInArrow(emit, "key long, h long, mark long")
     found = stored(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long, key long").distinct(), "line-candidates")
-    needed = found.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    needed = sent(found.select(F.explode(F.array("a", "b")).alias("h")).distinct())
     texts = lines(docs.select(F.lit(0).alias("doc_id"), F.col(text).alias("text")), min_chars).select("h", "line")
     texts = stored(texts.join(needed, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")), "line-texts")
     pairs = found.where("key is null").select("a", "b")
