@@ -76,7 +76,7 @@ class Lexicon:
         stack = [(self.trie, list(range(len(token) + 1)), 0)]
         while stack:
             node, row, depth = stack.pop()
-            if " " in node and row[depth] == 0 and depth <= len(token):
+            if " " in node and depth <= len(token) and row[depth] == 0:
                 return 0
             allowed = node.get("", -1)
             if row[-1] <= allowed and (best < 0 or row[-1] < best):
@@ -99,7 +99,7 @@ class Lexicon:
     def hits(self, words: list[str]) -> list[tuple[int, int]]:
         """(place, errors) of the hits among words."""
         known = self.known
-        for w in set(words) - known.keys():
+        for w in [w for w in set(words) if w not in known]:
             if len(known) >= KEPT:
                 known.clear()
                 return self.hits(words) if len(words) < KEPT else [(i, e) for i, w in enumerate(words) if (e := self.of(w)) >= 0]
