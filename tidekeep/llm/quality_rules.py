@@ -38,6 +38,15 @@ def _repeat_words() -> Column:
     return F.aggregate(places, start, step)["n"]
 
 
+def _held(value: Column) -> Column:
+    """The value behind an expression that the optimizer doesn't move.
+
+    Else a filter on a verdict is pushed below the measurements, each use of which repeats the whole expression: the
+    plan then grows to a size at which planning doesn't end.
+    """
+    return value + F.spark_partition_id() * 0
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs and MEASURES, all long.  Characters are code points; lines are split at newline, and count with a word."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -61,7 +70,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_symbols": F.regexp_count(body, F.lit("[#*$%&|<>]")).cast("long"),
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": repeats.cast("long"),
+            "n_repeat_words": _held(repeats.cast("long")),
             "n_shouts": F.regexp_count(body, F.lit("!!")).cast("long"),
             "n_upper": F.regexp_count(body, F.lit(r"\p{Lu}")).cast("long"),
         }
