@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidekeep.llm import line_dedup, mixing, packing, quality_rules, similar
-from tidekeep.llm.common import WORD, read, stored
+from tidekeep.llm.common import WORD, read, sent, stored
 from tidekeep.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,7 +32,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): that of the smallest doc_id."""
     groups = stored(similar.near_copies(docs, shingle=5, similarity=0.8), "groups")
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = sent(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
     out = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
     repeated = not groups.groupBy("doc_id").count().where("count > 1").isEmpty()
     return out.dropDuplicates(["doc_id"]) if repeated else out

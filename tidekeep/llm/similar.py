@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidekeep.llm import simhash
-from tidekeep.llm.common import components, stored
+from tidekeep.llm.common import components, sent, stored
 
 BANDS, ROWS = 18, 5
 #: Sets of a key that are compared at once, and sets of a block beyond that.
@@ -126,7 +126,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
     alike = sets.join(heads, "fp").where("node <> head").select(F.col("node").alias("x"), F.col("head").alias("y"))
     pairs = near.union(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(candidates(sets, similarity))
     pairs = stored(pairs.where("a <> b").distinct(), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "least"), "node")
+    needed = sent(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "least"), "node"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
