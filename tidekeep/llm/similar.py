@@ -6,8 +6,9 @@ minima each, which miss a pair at 0.8 with a chance of (1 - 0.8 ** 5) ** 18, und
 compared by their whole signatures, those that may reach the similarity are verified on the exact shingle sets, and
 links make components.
 
-Documents with equal shingle sets count once.  A key with more than RUN of them is compared in blocks, in separate
-tasks, so no group is gathered in one and none is capped.
+Documents with equal shingle sets count once.  A key with more than RUN of them isn't listed in pairs: it is compared in
+blocks, each two of them in a task with the exact sets at hand, and only a spanning set of verified links leaves a task.
+So no group is gathered in one task, none is capped, and rows don't grow with the square of a group.
 
 Defined cases: null texts and texts without words have the empty set and are copies of each other; texts of fewer words
 than a shingle are one shingle; repeated rows are copies; an empty table gives an empty table.
@@ -26,8 +27,8 @@ from tidekeep.llm import simhash
 from tidekeep.llm.common import components, sent, stored
 
 BANDS, ROWS = 18, 5
-#: Sets of a key that are compared at once, and sets of a block beyond that.
-RUN, BLOCK = 1024, 512
+#: Sets of a key whose pairs are listed, and sets of a block beyond that.
+RUN, BLOCK = 16, 256
 #: Standard errors by which a signature may fall short of the similarity.
 SLACK = 3.0
 _RNG = np.random.default_rng(20240501)
@@ -77,18 +78,19 @@ def sketches(docs: DataFrame, shingle: int = 5, text: str = "text", key: str = "
     return rows.mapInArrow(run, "doc_id long, node long, fp long, keys array<long>, sign binary")
 
 
-def candidates(sets: DataFrame, similarity: float, run: int = RUN, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of nodes that share a band and whose signatures may come from sets at least so similar."""
+def _matrix(sign) -> np.ndarray:
+    return np.frombuffer(b"".join(sign), np.uint8).reshape(-1, BANDS * ROWS)
+
+
+def _least(similarity: float) -> float:
+    """Equal signature bytes of sets at the similarity, less SLACK standard errors."""
     n = BANDS * ROWS
-    least = n * (similarity - SLACK * (similarity * (1 - similarity) / n) ** 0.5)
+    return n * (similarity - SLACK * (similarity * (1 - similarity) / n) ** 0.5)
 
-    def pairs(key: np.ndarray, node: np.ndarray, sign: np.ndarray) -> np.ndarray:
-        i, j = simhash.run_pairs(key, lambda i, j: (sign[i] == sign[j]).sum(axis=1) >= least)
-        both = np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1)
-        return np.unique(both[both[:, 0] != both[:, 1]], axis=0)
 
-    def matrix(sign) -> np.ndarray:
-        return np.frombuffer(b"".join(sign), np.uint8).reshape(-1, n)
+def candidates(sets: DataFrame, similarity: float, run: int = RUN) -> DataFrame:
+    """Pairs (a, b) of nodes that share a band and whose signatures allow the similarity; (node, node, key) for each node of a larger key."""
+    least = _least(similarity)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for long, (key, node, sign) in simhash.runs(batches, run):
@@ -97,26 +99,52 @@ def candidates(sets: DataFrame, similarity: float, run: int = RUN, block: int =
                 continue
             _, which, count = np.unique(key, return_inverse=True, return_counts=True)
             some = count[which] > 1
-            found = pairs(key[some], node[some], matrix(sign[some]))
+            key, node, signs = key[some], node[some], _matrix(sign[some])
+            i, j = simhash.run_pairs(key, lambda i, j: (signs[i] == signs[j]).sum(axis=1) >= least)  # noqa: B023
+            both = np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1)
+            found = np.unique(both[both[:, 0] != both[:, 1]], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.nulls(len(found), pa.int64())], ["a", "b", "key"])
 
+    keyed = sets.select(F.explode("keys").alias("key"), "node", "sign")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long, key long")
+
+
+def block_links(hot: DataFrame, full: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) among the nodes of each large key (key, node), verified on their sets (node, sign, shingles)."""
+    least = _least(similarity)
+
     def cell(frame):
         import pandas as pd
 
         frame = frame.drop_duplicates("node")
-        found = pairs(np.zeros(len(frame), np.int64), frame["node"].to_numpy(), matrix(frame["sign"]))
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+        node, signs = frame["node"].to_numpy(), _matrix(frame["sign"])
+        own = [np.asarray(x) for x in frame["shingles"]]
+        up = list(range(len(node)))
+
+        def find(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        found = []
+        for i in range(len(node) - 1):
+            for j in (i + 1 + np.flatnonzero((signs[i + 1 :] == signs[i]).sum(axis=1) >= least)).tolist():
+                if find(i) == find(j):
+                    continue
+                common = len(np.intersect1d(own[i], own[j], assume_unique=True))
+                if common >= similarity * (len(own[i]) + len(own[j]) - common):
+                    up[max(find(i), find(j))] = min(find(i), find(j))
+                    found.append((node[i], node[j]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    keyed = sets.select(F.explode("keys").alias("key"), "node", "sign")
-    found = stored(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long, key long"), "band-pairs")
-    hot = found.where("key is not null").select("key", F.col("a").alias("node"))
     blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    dealt = hot.join(blocks, "key").withColumn("at", F.pmod("node", "n").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    cells = dealt.join(sets.select("node", "sign"), "node").groupBy("key", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"))
-    return found.where("key is null").select("a", "b").union(cells.applyInPandas(cell, "a long, b long")).distinct()
+    dealt = hot.join(blocks, "key").withColumn("at", F.pmod(F.xxhash64("node"), "n").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cells = dealt.join(full, "node").groupBy("key", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"))
+    return cells.applyInPandas(cell, "a long, b long")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id", run: int = RUN, block: int = BLOCK) -> DataFrame:
     """doc_id and component_id (the smallest doc_id of its group) of every row."""
     rows = stored(sketches(docs, shingle, text, key), "sketches")
     sets = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sign").alias("sign")), "sets")
@@ -124,9 +152,11 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
     near = simhash.links(sets.select("fp"))
     near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
     alike = sets.join(heads, "fp").where("node <> head").select(F.col("node").alias("x"), F.col("head").alias("y"))
-    pairs = near.union(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(candidates(sets, similarity))
+    banded = stored(candidates(sets, similarity, run), "band-pairs")
+    hot = banded.where("key is not null").select("key", F.col("a").alias("node"))
+    pairs = near.union(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(banded.where("key is null").select("a", "b"))
     pairs = stored(pairs.where("a <> b").distinct(), "pairs")
-    needed = sent(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "least"), "node"))
+    needed = sent(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(hot.select("node")).distinct().join(sets.select("node", "least"), "node"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -141,6 +171,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
     both = pairs.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     edges = both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
+    edges = edges.union(block_links(hot, full.join(sets.select("node", "sign"), "node"), similarity, block))
     parts = components(edges).withColumnRenamed("node", "_node")
     named = sets.select("node", "least").join(parts, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
