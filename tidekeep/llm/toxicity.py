@@ -47,14 +47,17 @@ class Lexicon:
 
     def __init__(self, entries: list[tuple[str, bool]]):
         self.trie: dict = {}
-        self.most = 0
+        #: Lengths that a token may have to match a whole word.
+        self.sizes: set[int] = set()
         heads, tails, middles = set(), set(), set()
         for text, stem in entries:
             errors = 0 if stem or len(text) < WORD else 1 if len(text) < LONG else 2
-            self.most = max(self.most, errors)
             node = self.trie
+            node["most"] = max(errors, node.get("most", 0))
             for c in text:
                 node = node.setdefault(c, {})
+                node["most"] = max(errors, node.get("most", 0))
+            self.sizes |= {len(text) + e for e in range(-errors, errors + 1)} if not stem else set()
             node[""] = max(errors, node.get("", -1)) if not stem else node.get("", -1)
             if stem:
                 node[" "] = True
@@ -73,6 +76,7 @@ class Lexicon:
     def errors(self, token: str) -> int:
         """Fewest errors with which some entry accepts the token, -1 if none does."""
         best = -1
+        words = len(token) in self.sizes
         stack = [(self.trie, list(range(len(token) + 1)), 0)]
         while stack:
             node, row, depth = stack.pop()
@@ -84,10 +88,15 @@ class Lexicon:
             for c, child in node.items():
                 if len(c) != 1 or c == " ":
                     continue
+                most = child["most"]
+                if most == 0 or not words:  # nothing below allows an error here: the branch is followed exactly
+                    if token[depth : depth + 1] == c and row[depth] == 0:
+                        stack.append((child, [depth + 1 - j if j <= depth else j - depth - 1 for j in range(len(token) + 1)], depth + 1))
+                    continue
                 after = [row[0] + 1]
                 for j, t in enumerate(token, 1):
                     after.append(min(after[-1] + 1, row[j] + 1, row[j - 1] + (t != c)))
-                if min(after) <= self.most:
+                if min(after) <= most:
                     stack.append((child, after, depth + 1))
         return best
 
