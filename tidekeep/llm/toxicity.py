@@ -45,7 +45,7 @@ FEATURES = 6
 class Lexicon:
     """Entries (text, whether it is a stem) as a trie, with a filter that passes all tokens the automaton may accept."""
 
-    def __init__(self, entries: list[tuple[str, bool]]):
+    def __init__(self, entries: list[tuple[str, bool]], part: bool = False):
         self.trie: dict = {}
         #: Lengths that a token may have to match a whole word.
         self.sizes: set[int] = set()
@@ -67,17 +67,23 @@ class Lexicon:
                 tails.add(text[size * errors :])
             if errors == 2:
                 middles.add(text[size : 2 * size])
+        self.heads = heads
+        many = [t for t, stem in entries if not stem and len(t) >= WORD]
+        long = [t for t in many if len(t) >= LONG]
+        #: The words that allow errors, reversed, and those that allow two.
+        self.back = None if part or not many else Lexicon([(t[::-1], False) for t in many], True)
+        self.long = None if part or not long else Lexicon([(t, False) for t in long], True)
         parts = [f"^(?:{'|'.join(map(re.escape, sorted(heads)))})"] * bool(heads) + [f"(?:{'|'.join(map(re.escape, sorted(tails)))})$"] * bool(tails)
         # a middle third may have moved
         parts += [f"(?:{'|'.join(map(re.escape, sorted(middles)))})"] * bool(middles)
         self.may = re.compile("|".join(parts) or r"(?!)").search
         self.known: dict[str, int] = {}
 
-    def errors(self, token: str) -> int:
-        """Fewest errors with which some entry accepts the token, -1 if none does."""
+    def errors(self, token: str, below: tuple[dict, list[int], int] | None = None) -> int:
+        """Fewest errors with which some entry accepts the token, -1 if none does; below: a node to begin at, with its row and depth."""
         best = -1
         words = len(token) in self.sizes
-        stack = [(self.trie, list(range(len(token) + 1)), 0)]
+        stack = [below or (self.trie, list(range(len(token) + 1)), 0)]
         while stack:
             node, row, depth = stack.pop()
             if " " in node and depth <= len(token) and row[depth] == 0:
@@ -100,10 +106,37 @@ class Lexicon:
                     stack.append((child, after, depth + 1))
         return best
 
+    def under(self, token: str) -> list[int]:
+        """Errors of the entries whose head the token begins with: the automaton enters the trie below that head."""
+        out, node, row = [], self.trie, list(range(len(token) + 1))
+        for depth, c in enumerate(token, 1):
+            if c not in node:
+                break
+            node = node[c]
+            after = [depth]
+            for j, t in enumerate(token, 1):
+                after.append(min(after[-1] + 1, row[j] + 1, row[j - 1] + (t != c)))
+            row = after
+            if " " in node:
+                return [0]
+            if token[:depth] in self.heads:
+                out.append(self.errors(token, (node, row, depth)))
+        return out
+
     def of(self, chunk: str) -> int:
-        """Errors of a run of non-space characters, without the punctuation at its ends; -1: no hit."""
+        """Errors of a run of non-space characters, without the punctuation at its ends; -1: no hit.
+
+        A part of an entry with errors is intact: its head or its tail (the head, reversed), else the middle of a long one.
+        """
         token = _EDGE.sub("", chunk)
-        return self.errors(token) if self.may(token) else -1
+        if not self.may(token):
+            return -1
+        found = self.under(token)
+        if self.back and 0 not in found:
+            found += self.back.under(token[::-1])
+        if self.long and 0 not in found and len(token) >= LONG - 2:
+            found.append(self.long.errors(token))
+        return min((e for e in found if e >= 0), default=-1)
 
     def hits(self, words: list[str]) -> list[tuple[int, int]]:
         """(place, errors) of the hits among words."""
