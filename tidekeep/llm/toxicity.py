@@ -30,7 +30,7 @@ from tidekeep.llm.common import stored
 #: Labelled documents of each kind that are learned from, and entries of the lexicon.
 SAMPLE, ENTRIES = 20_000, 2_000
 #: Least share of the toxic documents with an entry, least documents, and least odds against clean ones.
-SHARE, LEAST, ODDS = 0.003, 5, 20.0
+SHARE, LEAST, ODDS = 0.01, 5, 20.0
 #: Letters from which an entry may have one error, and two.
 WORD, LONG = 5, 9
 STEM = range(4, 9)
