@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,36 +57,48 @@ def may_continue(state: DataFrame, me: str, epoch: int) -> DataFrame:
     return state.withColumn("go_on", (F.col("state") == "migrating") & (F.col("owner") == me) & (F.col("epoch") == epoch))
 
 
-def _state(migrating: str = "a.migrating", epoch: str = "a.epoch", pending: str = "a.pending", owner: str = "a.owner", result: str = "''") -> str:
-    return f"named_struct('migrating', {migrating}, 'epoch', {epoch}, 'pending', {pending}, 'owner', {owner}, 'result', {result})"
-
-
-#: The transition of one request x on state a, as cases in order; errors leave the state as it is.
-CASES = (
-    ("x.action = 'start' and a.migrating", _state(result="'rejected'")),
-    ("x.action = 'start'", _state("true", "a.epoch + 1", "false", "x.addr", "'started'")),
-    ("x.action not in ('pending', 'finish')", _state(result="'unknown action'")),
-    ("not a.migrating", _state(result="'not migrating'")),
-    ("x.action = 'pending'", _state(pending="true", result="'pending'")),
-    ("a.owner <> x.addr", _state(result="'wrong owner'")),
-    ("a.epoch <> x.epoch", _state(result="'wrong epoch'")),
-)
-FINISH = _state("false", "a.epoch", "false", "''", "if(a.pending, 'finished, again', 'finished')")
+def _step(state: tuple[bool, int, bool, str], action: str, addr: str, epoch: int) -> tuple[tuple[bool, int, bool, str], str]:
+    """State (migrating, epoch, pending, owner) after one request, and its result; errors leave the state as it is."""
+    migrating, at, pending, owner = state
+    if action == "start":
+        return (state, "rejected") if migrating else ((True, at + 1, False, addr), "started")
+    if action not in ("pending", "finish"):
+        return state, "unknown action"
+    if not migrating:
+        return state, "not migrating"
+    if action == "pending":
+        return (True, at, True, owner), "pending"
+    if owner != addr:
+        return state, "wrong owner"
+    if at != epoch:
+        return state, "wrong epoch"
+    return (False, at, False, ""), "finished, again" if pending else "finished"
 
 
 def state_machine(requests: DataFrame, by: str = "cluster") -> DataFrame:
     """Results of requests (cluster, seq, action, addr, epoch) on each cluster's state, in order: a compare-and-swap log.
 
-    A cluster's log of control requests is short by nature; it is folded as one array, whose states are all kept.
+    A pass over rows sorted by cluster and seq: one state is held, whatever the length of a cluster's log.
     """
-    step = "case " + " ".join(f"when {when} then {then}" for when, then in CASES) + f" else {FINISH} end"
-    log = requests.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("seq", "action", "addr", "epoch"))).alias("log"))
-    first = _state("false", "0L", "false", "''")
-    kind = "array<struct<migrating: boolean, epoch: bigint, pending: boolean, owner: string, result: string>>"
-    # a lambda over an array of one state names it a
-    states = f"aggregate(log, cast(array({first}) as {kind}), (s, x) -> concat(s, cast(transform(array(element_at(s, -1)), a -> {step}) as {kind})))"
-    rows = log.select(by, F.explode(F.arrays_zip(F.col("log.seq").alias("seq"), F.expr(f"slice({states}, 2, size(log))").alias("r"))).alias("z"))
-    return rows.select(by, "z.seq", "z.r.result", "z.r.epoch", "z.r.migrating", "z.r.pending", "z.r.owner")
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = (False, 0, False, "")
+        cluster, state, begun = None, first, False
+        for b in batches:
+            out = []
+            for c, action, addr, epoch in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                if not begun or c != cluster:
+                    cluster, state, begun = c, first, True
+                state, result = _step(state, action, addr, epoch)
+                out.append((result, state[1], state[0], state[2], state[3]))
+            results, epochs, migrating, pending, owner = zip(*out, strict=True) if out else ((),) * 5
+            columns = [pa.array(results, pa.string()), pa.array(epochs, pa.int64()), pa.array(migrating, pa.bool_()), pa.array(pending, pa.bool_()), pa.array(owner, pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], [by, "seq", "result", "epoch", "migrating", "pending", "owner"])
+
+    rows = requests.select(by, F.col("seq").cast("long").alias("seq"), "action", "addr", F.col("epoch").cast("long").alias("epoch"))
+    kind = rows.schema[by].dataType.simpleString()
+    return rows.repartition(by).sortWithinPartitions(by, "seq", "action", "addr", "epoch").mapInArrow(run, f"`{by}` {kind}, seq long, result string, epoch long, migrating boolean, pending boolean, owner string")
 
 
 def activated(nodes: DataFrame) -> DataFrame:
