@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidekeep.llm import line_dedup, mixing, packing, quality_rules, similar
-from tidekeep.llm.common import WORD, read, sent, stored
+from tidekeep.llm.common import WORD, read, rowed, sent, stored
 from tidekeep.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,12 +30,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): that of the smallest doc_id."""
-    groups = stored(similar.near_copies(docs, shingle=5, similarity=0.8), "groups")
-    gone = sent(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
-    out = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
-    repeated = not groups.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """One row of each group of near copies (five-word shingles, similarity 0.8): that of the smallest doc_id.
+
+    Rows are told apart by a key of their own: null ids come last, and of rows with the same least id one is kept, whatever
+    texts they hold; rows outside a group all stay.
+    """
+    rows = rowed(docs)
+    groups = similar.near_copies(rows, shingle=5, similarity=0.8, key="_row")
+    gone = sent(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")))
+    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +53,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("SimHash near-dedup", near_dedup), ("mixing", mix), ("packing", pack)]
 
-#: SQL can't express the tokenizer and the packing; the stages are tested against brute-force versions.
+#: SQL can't express the tokenizer and the packing; tests/llm/test_pipeline.py tests the stages and run() against brute force.
 ORACLE_SQL = None
 
 

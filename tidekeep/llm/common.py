@@ -42,6 +42,19 @@ def sent(ids: DataFrame, most: int = SENT) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
+def rowed(docs: DataFrame) -> DataFrame:
+    """docs with _row (long), a key of each row's own in the order of doc_id, null ids last.
+
+    It is the doc_id where that is unique and never null.  Else the rows are numbered and stored: whole texts are sorted by
+    doc_id, and equal ids by their place in the table, so neither null nor repeated ids gather in one task.
+    """
+    own = F.col("doc_id").cast("long")
+    if docs.groupBy(own.alias("_id")).agg(F.count("*").alias("_n")).where("_id is null or _n > 1").isEmpty():
+        return docs.withColumn("_row", own)
+    placed = docs.withColumn("_at", F.monotonically_increasing_id()).orderBy(own.asc_nulls_last(), "_at")
+    return stored(placed.withColumn("_row", F.monotonically_increasing_id()).drop("_at"), "rows")
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table that stored() wrote and nothing needs any more."""
     spark = df.sparkSession

@@ -11,7 +11,8 @@ blocks, each two of them in a task with the exact sets at hand, and only a spann
 So no group is gathered in one task, none is capped, and rows don't grow with the square of a group.
 
 Defined cases: null texts and texts without words have the empty set and are copies of each other; texts of fewer words
-than a shingle are one shingle; repeated rows are copies; an empty table gives an empty table.
+than a shingle are one shingle; repeated rows are copies; an empty table gives an empty table.  The key must be unique and
+never null, as texts are fetched by it: see common.rowed.
 """
 
 from __future__ import annotations
