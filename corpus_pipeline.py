@@ -24,8 +24,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat an earlier one; a document of which no word is left goes."""
-    out = line_dedup.without_repeats(docs, line_dedup.classes(docs))
+    """Documents without lines that repeat an earlier one; a document of which no word is left goes.
+
+    Rows are told apart by a key of their own, so a row without an id, or with that of another, loses only its own repeats.
+    """
+    rows = rowed(docs)
+    out = line_dedup.without_repeats(rows, line_dedup.classes(rows, key="_row"), key="_row")
     return out.where(F.col("text").rlike(WORD)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -100,3 +100,26 @@ def test_near_dedup(spark, folder):
 def test_near_dedup_of_equal_rows(spark):
     made = spark.createDataFrame([(None, "the very same words in every row", "en", "a", 1)] * 5 + [(3, "", "en", "a", 0)] * 2, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(map(str, pairs(corpus_pipeline.near_dedup(spark, stored(made, "in"), "")))) == sorted(map(str, [(None, "the very same words in every row"), (3, "")]))
+
+
+def test_lines(spark, folder):
+    docs = stored(spark.read.parquet(f"{folder}/documents.parquet"), "in")
+    got = pairs(corpus_pipeline.lines(spark, docs, folder))
+    assert sorted((str(i), t) for i, t in got) == brute_lines(pairs(docs))
+    assert sum(t.startswith(KNOWN) for _, t in got) == 1 and sum(t.startswith(("short", "only here")) for _, t in got) == 2
+
+
+def test_run(spark, folder):
+    """Every group that the first three stages leave, by brute force, is packed, whole and at least once; nothing else is."""
+    from tokenizers import Tokenizer
+
+    kept = pairs(corpus_pipeline.quality(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder))
+    assert len(kept) > 20 and sum(i is None for i, _ in kept) > 3 and sum(i == 7 for i, _ in kept) > 3
+    rows = [(None if i == "None" else int(i), t) for i, t in brute_lines(kept)]
+    encode = Tokenizer.from_file(queries.tokenizer()).encode
+    size = lambda r: (r[0], len(encode(r[1], add_special_tokens=False).ids) + 1)
+    want = [{size(r) for r in least(rows, g)} for g in brute_groups(rows)]
+    packed = corpus_pipeline.run(spark, folder).collect()
+    got = {(r.doc_id, r.doc_tokens) for r in packed}
+    assert got <= set().union(*want) and all(got & w for w in want)
+    assert sum(r.start == 0 for r in packed) >= len(want) and sum(r.length for r in packed) >= sum(min(n for _, n in w) for w in want)

@@ -11,8 +11,8 @@ pairs: its lines are dealt to blocks, pairs of blocks are compared in separate t
 flips at most two of its bits) and then by edit distance, and only a spanning set of links leaves a task.
 
 Defined cases: null texts have no lines; lines shorter than MIN_CHARS are never linked or dropped; the first line of a
-class by (doc_id, line_no) is kept (null ids come last); rows that repeat a doc_id share the fate of that document's
-lines of equal number and class; an empty table gives an empty table; further columns are ignored.
+class by (doc_id, line_no) is kept (null ids come last); classes() calls rows that repeat a doc_id by that id and number, so
+lines are taken out of texts by a unique key only; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -214,8 +214,11 @@ def classes(docs: DataFrame, min_chars: int = MIN_CHARS, errors: int = ERRORS, t
 
 
 def without_repeats(docs: DataFrame, classed: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with the lines that classes() doesn't keep taken out of the text; documents without such lines stay as they are."""
+    """docs with the lines that classes() doesn't keep taken out of the text; documents without such lines stay as they are.
+
+    The key must be that of classes(), and unique and never null (see common.rowed): lines are taken out by key and number.
+    """
     drop = classed.where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("_drop")).withColumnRenamed("doc_id", "_doc")
     kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("_drop", i))
-    joined = docs.join(drop, F.col(key).cast("long").eqNullSafe(F.col("_doc")), "left")
+    joined = docs.join(drop, F.col(key).cast("long") == F.col("_doc"), "left")
     return joined.withColumn(text, F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).drop("_doc", "_drop")
