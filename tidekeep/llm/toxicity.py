@@ -2,9 +2,10 @@
 
 learn() takes words and word stems that labelled toxic documents hold far more often than clean ones, and fits a logistic
 regression on counts of hits by kind: exact or misspelled, and plain or in a context that quotes.  score() matches every
-token of a text against the trie of entries: a row of the automaton runs down the trie and a branch ends when no state
-within the entry's errors is left.  An entry of WORD letters or more may be one edit away, one of LONG two; stems (which
-any ending may follow) are exact.
+token of a text against all entries.  An entry of WORD letters or more may be one edit away, one of LONG two; stems (which
+any ending may follow) are exact.  What an entry accepts is defined by Lexicon.errors(), a Levenshtein automaton over the
+trie of entries.  Its cost grows with the lexicon, so Lexicon.of() gives the same result from an index: errors + 1 segments
+of each entry, one of which any such edits leave intact, and banded bit-parallel edit distance for the entries found.
 
 Labels are learned from a bounded sample of SAMPLE toxic and as many clean documents, by hash order; all documents are
 scored, over their whole texts.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidekeep.llm.common import stored
+from tidekeep.llm.line_dedup import distance, segments
 
-#: Labelled documents of each kind that are learned from, and entries of the lexicon.
-SAMPLE, ENTRIES = 20_000, 2_000
-#: Least share of the toxic documents with an entry, least documents, and least odds against clean ones.
-SHARE, LEAST, ODDS = 0.01, 5, 20.0
+#: Labelled documents of each kind that are learned from.
+SAMPLE = 20_000
+#: Least toxic documents with an entry, and least odds against clean ones; the lexicon has no further bound.
+LEAST, ODDS = 5, 20.0
 #: Letters from which an entry may have one error, and two.
 WORD, LONG = 5, 9
 STEM = range(4, 9)
@@ -42,101 +45,86 @@ _EDGE = re.compile(r"^\W+|\W+$")
 FEATURES = 6
 
 
+def allowed(letters: int) -> int:
+    """Errors that a word of so many letters may have."""
+    return 0 if letters < WORD else 1 if letters < LONG else 2
+
+
 class Lexicon:
-    """Entries (text, whether it is a stem) as a trie, with a filter that passes all tokens the automaton may accept."""
-
-    def __init__(self, entries: list[tuple[str, bool]], part: bool = False):
-        self.trie: dict = {}
-        #: Lengths that a token may have to match a whole word.
-        self.sizes: set[int] = set()
-        heads, tails, middles = set(), set(), set()
-        for text, stem in entries:
-            errors = 0 if stem or len(text) < WORD else 1 if len(text) < LONG else 2
-            node = self.trie
+    """Entries (text, whether it is a stem), as an index of exact forms and of segments, and as a trie."""
+
+    def __init__(self, entries: list[tuple[str, bool]]):
+        self.entries = entries
+        self.words = {text for text, stem in entries if not stem}
+        self.stems = {text for text, stem in entries if stem}
+        self.stem_sizes = sorted({len(t) for t in self.stems})
+        #: Words with errors by (length, segment, its characters), and the errors by length.
+        self.index: dict[tuple[int, int, str], list[str]] = {}
+        self.sizes: dict[int, int] = {}
+        for text in self.words:
+            if errors := allowed(len(text)):
+                self.sizes[len(text)] = errors
+                for i, (at, n) in enumerate(segments(len(text), errors)):
+                    self.index.setdefault((len(text), i, text[at : at + n]), []).append(text)
+        self.known: dict[str, int] = {}
+
+    @cached_property
+    def trie(self) -> dict:
+        root: dict = {}
+        for text, stem in self.entries:
+            errors = 0 if stem else allowed(len(text))
+            node = root
             node["most"] = max(errors, node.get("most", 0))
             for c in text:
                 node = node.setdefault(c, {})
                 node["most"] = max(errors, node.get("most", 0))
-            self.sizes |= {len(text) + e for e in range(-errors, errors + 1)} if not stem else set()
             node[""] = max(errors, node.get("", -1)) if not stem else node.get("", -1)
             if stem:
                 node[" "] = True
-            size = len(text) // (errors + 1)
-            heads.add(text if errors == 0 else text[:size])
-            if errors:
-                tails.add(text[size * errors :])
-            if errors == 2:
-                middles.add(text[size : 2 * size])
-        self.heads = heads
-        many = [t for t, stem in entries if not stem and len(t) >= WORD]
-        long = [t for t in many if len(t) >= LONG]
-        #: The words that allow errors, reversed, and those that allow two.
-        self.back = None if part or not many else Lexicon([(t[::-1], False) for t in many], True)
-        self.long = None if part or not long else Lexicon([(t, False) for t in long], True)
-        parts = [f"^(?:{'|'.join(map(re.escape, sorted(heads)))})"] * bool(heads) + [f"(?:{'|'.join(map(re.escape, sorted(tails)))})$"] * bool(tails)
-        # a middle third may have moved
-        parts += [f"(?:{'|'.join(map(re.escape, sorted(middles)))})"] * bool(middles)
-        self.may = re.compile("|".join(parts) or r"(?!)").search
-        self.known: dict[str, int] = {}
+        return root
 
-    def errors(self, token: str, below: tuple[dict, list[int], int] | None = None) -> int:
-        """Fewest errors with which some entry accepts the token, -1 if none does; below: a node to begin at, with its row and depth."""
+    def errors(self, token: str) -> int:
+        """Fewest errors with which some entry accepts the token, -1 if none does, by a walk of the whole trie."""
         best = -1
-        words = len(token) in self.sizes
-        stack = [below or (self.trie, list(range(len(token) + 1)), 0)]
+        stack = [(self.trie, list(range(len(token) + 1)), 0)]
         while stack:
             node, row, depth = stack.pop()
             if " " in node and depth <= len(token) and row[depth] == 0:
                 return 0
-            allowed = node.get("", -1)
-            if row[-1] <= allowed and (best < 0 or row[-1] < best):
+            if row[-1] <= node.get("", -1) and (best < 0 or row[-1] < best):
                 best = row[-1]
             for c, child in node.items():
                 if len(c) != 1 or c == " ":
                     continue
-                most = child["most"]
-                if most == 0 or not words:  # nothing below allows an error here: the branch is followed exactly
-                    if token[depth : depth + 1] == c and row[depth] == 0:
-                        stack.append((child, [depth + 1 - j if j <= depth else j - depth - 1 for j in range(len(token) + 1)], depth + 1))
-                    continue
                 after = [row[0] + 1]
                 for j, t in enumerate(token, 1):
                     after.append(min(after[-1] + 1, row[j] + 1, row[j - 1] + (t != c)))
-                if min(after) <= most:
+                if min(after) <= child["most"]:
                     stack.append((child, after, depth + 1))
         return best
 
-    def under(self, token: str) -> list[int]:
-        """Errors of the entries whose head the token begins with: the automaton enters the trie below that head."""
-        out, node, row = [], self.trie, list(range(len(token) + 1))
-        for depth, c in enumerate(token, 1):
-            if c not in node:
-                break
-            node = node[c]
-            after = [depth]
-            for j, t in enumerate(token, 1):
-                after.append(min(after[-1] + 1, row[j] + 1, row[j - 1] + (t != c)))
-            row = after
-            if " " in node:
-                return [0]
-            if token[:depth] in self.heads:
-                out.append(self.errors(token, (node, row, depth)))
-        return out
-
     def of(self, chunk: str) -> int:
         """Errors of a run of non-space characters, without the punctuation at its ends; -1: no hit.
 
-        A part of an entry with errors is intact: its head or its tail (the head, reversed), else the middle of a long one.
+        With at most e errors some segment i of an entry is intact after i errors at most, and before e - i at most.
         """
         token = _EDGE.sub("", chunk)
-        if not self.may(token):
-            return -1
-        found = self.under(token)
-        if self.back and 0 not in found:
-            found += self.back.under(token[::-1])
-        if self.long and 0 not in found and len(token) >= LONG - 2:
-            found.append(self.long.errors(token))
-        return min((e for e in found if e >= 0), default=-1)
+        size = len(token)
+        if token in self.words or any(token[:n] in self.stems for n in self.stem_sizes if n <= size):
+            return 0
+        best, tried = -1, set()
+        for other in range(size - 2, size + 3):
+            errors, shift = self.sizes.get(other, 0), size - other
+            if abs(shift) > errors or not errors:
+                continue
+            for i, (at, n) in enumerate(segments(other, errors)):
+                for p in range(max(0, at - i, at + shift - (errors - i)), min(size - n, at + i, at + shift + (errors - i)) + 1):
+                    for word in self.index.get((other, i, token[p : p + n]), ()):
+                        if word not in tried:
+                            tried.add(word)
+                            if (d := distance(token, word, errors)) <= errors and (best < 0 or d < best):
+                                best = d
+        return best
 
     def hits(self, words: list[str]) -> list[tuple[int, int]]:
         """(place, errors) of the hits among words."""
@@ -190,21 +178,27 @@ def mined(train: DataFrame, toxic: int, clean: int) -> list[tuple[str, bool]]:
     stems = words.select(F.explode(forms).alias("form"), "word", "toxic", "clean").where("form is not null")
     each = stems.groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.max(F.struct("toxic", "word")).alias("top"))
     odds = ((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("clean") + 0.5) / (clean + 1))
-    good = each.where((F.col("toxic") >= max(LEAST, SHARE * toxic)) & (odds >= ODDS)).orderBy(F.desc("toxic"), "form").limit(8 * ENTRIES)
-    counts = {r.form: (r.toxic, r.top.toxic, r.top.word) for r in good.collect()}
+    good = each.where((F.col("toxic") >= LEAST) & (odds >= ODDS)).orderBy(F.desc("toxic"), "form")
+    counts = {r.form: (r.toxic, r.top.toxic, r.top.word) for r in good.collect()}  # of the bounded sample
+    under: dict[str, list[str]] = {}
+    for form in counts:
+        if not form.endswith("$"):
+            for n in range(1, len(form) + 1):
+                under.setdefault(form[:n], []).append(form)
     out: dict[tuple[str, bool], None] = {}
+    stemmed = lambda form: any((form[:n], True) in out for n in STEM)
     for form in sorted(counts, key=lambda f: (len(f), f)):
-        if form.endswith("$") or any(stem and form.startswith(e) for e, stem in out):
+        if form.endswith("$") or stemmed(form):
             continue
         number, most, word = counts[form]
         if most >= 0.8 * number:
             continue  # one word makes the stem: it counts as a whole word
-        longer = [f for f in counts if f.startswith(form) and not f.endswith("$") and counts[f][0] >= 0.95 * number]
+        longer = [f for f in under[form] if counts[f][0] >= 0.95 * number]
         out[(max(longer, key=len), True)] = None
     for form in counts:
-        if form.endswith("$") and not any(stem and form.startswith(e) for e, stem in out):
+        if form.endswith("$") and not stemmed(form):
             out[(form[:-1], False)] = None
-    return list(out)[:ENTRIES]
+    return list(out)
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
