@@ -3,8 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from tidekeep.operators import kv
+from tidekeep.operators import kv, migrate
+from tidekeep.sources.shared import stored
 
 OPS = "seq long, key string, value string, version long, tombstone boolean, ts long, ttl long"
 
@@ -75,11 +78,30 @@ def test_alive_boundary(spark):
 
 
 def test_numbered_ranks_every_row(spark):
-    rows = spark.range(1000).selectExpr("cast(id % 3 as string) as g", "id as key")
-    got = kv.numbered(rows, [rows["key"]], 7, "g").collect()
-    for g in "012":
+    rows = spark.range(1000).selectExpr("case id % 4 when 3 then null else cast(id % 4 as string) end as g", "id as key")
+    got = kv.numbered(rows, [rows["key"]], "g").collect()
+    for g in ("0", "1", "2", None):
         ids = sorted((r.key, r["rank"]) for r in got if r.g == g)
-        assert [n for _, n in ids] == list(range(1, len(ids) + 1))
+        assert [n for _, n in ids] == list(range(1, 251))
+
+
+@pytest.mark.parametrize("kind", ["backfill", "batches", "pages"])
+def test_a_million_ranks_with_further_columns(spark, kind):
+    """Ranks are 1 to n, each once and in the order of the keys, whatever columns are kept."""
+    n = 1_000_000
+    rows = spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("key"), F.concat(F.lit("value "), F.col("id")).alias("value"), F.when(F.col("id") % 3 > 0, "a").otherwise("b").alias("target"), F.lit("origin").alias("source"))
+    of = ["target"] if kind == "batches" else []
+    if kind == "backfill":
+        got = kv.backfill(rows, 0, 5, 1).withColumn("rank", F.col("version"))
+    elif kind == "pages":
+        got = kv.pages(rows)
+    else:
+        got = migrate.batches(rows)
+    got = stored(got, "got")
+    sums = got.groupBy(*of).agg(F.count("*").alias("n"), F.countDistinct("rank").alias("d"), F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.countDistinct("key").alias("k")).collect()
+    assert sum(r.n for r in sums) == n and all(r.n == r.d == r.hi == r.k and r.lo == 1 for r in sums)
+    ahead = Window.partitionBy(*of, F.floor(F.col("rank") / 5000)).orderBy("rank")
+    assert got.withColumn("last", F.lag("key").over(ahead)).where("last >= key").count() == 0
 
 
 def test_reads(spark):

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidekeep.functions import live, remaining_ms, snowflake
+from tidekeep.sources.shared import stored
 
 #: Operations of a key beyond which its history isn't held as one array.
 HOT = 100_000
@@ -98,19 +99,22 @@ def scan_page(snapshot: DataFrame, start: str = "", count: int = 0) -> DataFrame
     return page.limit(count) if count > 0 else page
 
 
-def numbered(rows: DataFrame, keys: list[Column], buckets: int = 64, within: str | None = None) -> DataFrame:
-    """rows with rank (from 1) in the order of keys, for each value of `within`.
+def numbered(rows: DataFrame, keys: list[Column], within: str | None = None) -> DataFrame:
+    """rows with rank (from 1) in the order of keys, for each value of `within`; rows of equal keys in any order.
 
-    Ranges are cut by sampled keys, rows ranked inside a range, and the counts of the ranges before added, so no task
-    holds all rows of a group.
+    Rows are sorted across the cluster and written once, each with its place (partition and row in it), so that the counts
+    and the ranks come from the same partitions.  The counts, a few rows a partition, make the ranks: no task holds a group.
     """
-    part = rows.repartitionByRange(buckets, *([F.col(within)] if within else []), *keys).withColumn("_part", F.spark_partition_id())
-    groups = [within, "_part"] if within else ["_part"]
-    counts = part.groupBy(*groups).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*([within] if within else [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = part.withColumn("_rank", F.row_number().over(Window.partitionBy(*groups).orderBy(*keys)))
-    return inside.join(offsets, groups).withColumn("rank", F.col("_rank") + F.col("_before")).drop("_rank", "_before", "_part")
+    order = [F.col(within), *keys] if within else keys
+    placed = stored(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_at", 33)
+    groups = [F.col(within).alias("_of")] if within else [F.lit(0).alias("_of")]
+    counts = placed.groupBy(*groups, part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    # a row for each partition and group in it
+    before = Window.partitionBy("_of").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).select("_of", F.col("_part").alias("_in"), "_offset")
+    same = F.col(within).eqNullSafe(F.col("_of")) if within else F.lit(True)
+    return placed.join(offsets, (part == F.col("_in")) & same).withColumn("rank", F.col("_at") + F.col("_offset")).drop("_at", "_of", "_in", "_offset")
 
 
 def pages(snapshot: DataFrame, page: int = 256) -> DataFrame:

@@ -67,10 +67,18 @@ def kv_routed_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return owned.groupBy("owner").agg(F.count("*").alias("keys"), F.sum(F.col("value").cast("decimal(18,2)")).cast("decimal(38,2)").alias("total"))
 
 
-@registered(sql.query(sql.ops(97), select="SELECT key, seq, version, tombstone FROM ops QUALIFY row_number() OVER (PARTITION BY key ORDER BY version DESC, seq ASC) = 1"))
+@registered(
+    sql.query(
+        sql.ops(97), sql.LWW, "batch AS (SELECT CAST(o_custkey AS VARCHAR) AS key, o_orderkey AS seq, o_orderkey * 7919 % 97 AS version, o_orderstatus = 'F' AS tombstone FROM orders)",
+        "u AS (SELECT key, seq, version, tombstone, 0 AS side FROM lww UNION ALL SELECT key, seq, version, tombstone, 1 FROM batch)",
+        select="SELECT key, seq, version, tombstone FROM u QUALIFY row_number() OVER (PARTITION BY key ORDER BY version DESC, side, seq) = 1",
+    )
+)
 def kv_batchset_merge(spark: SparkSession, d: str) -> DataFrame:
-    ops = oplog(spark, d, 97).select("key", "seq", "version", "tombstone")
-    return kv.batch_merge(ops.where("seq % 2 = 0").limit(0), ops)
+    """A batch of entries, one for each order, over the snapshot of all operations."""
+    snapshot = kv.lww_snapshot(oplog(spark, d, 97)).select("key", "seq", "version", "tombstone")
+    batch = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("key"), F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") * 7919 % 97).alias("version"), (F.col("o_orderstatus") == "F").alias("tombstone"))
+    return kv.batch_merge(snapshot, batch)
 
 
 @registered(sql.query(sql.ops(), select="SELECT * FROM (SELECT key, seq, version, max(version) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM ops) WHERE version < newest"))
@@ -308,7 +316,7 @@ def mig_progress(spark: SparkSession, d: str) -> DataFrame:
     return migrate.progress(migrate.batches(_moves(spark, d)))
 
 
-@registered(sql.query(*MOVES, BATCHES, select="SELECT m.key, m.target FROM m WHERE m.key > (SELECT max(key) FROM b WHERE b.target = m.target AND batch = 2)"))
+@registered(sql.query(*MOVES, BATCHES, "l AS (SELECT target, max(key) AS last FROM b WHERE batch = 2 GROUP BY target)", select="SELECT m.key, m.target FROM m LEFT JOIN l ON l.target = m.target WHERE l.last IS NULL OR m.key > l.last"))
 def mig_resume(spark: SparkSession, d: str) -> DataFrame:
     moves = _moves(spark, d)
     saved = migrate.progress(migrate.batches(moves)).where("batch = 2")
@@ -339,7 +347,7 @@ def gc_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 REQUESTS = """q AS (SELECT user_id % 20 AS cluster, event_id AS seq, CASE event_id % 4 WHEN 0 THEN 'start' WHEN 1 THEN 'finish' WHEN 2 THEN 'pending' ELSE 'finish' END AS action,
-  CASE WHEN event_id % 5 < 4 THEN 'A' ELSE 'B' END AS addr, event_id % 3 + 1 AS epoch FROM events WHERE event_id < 2000),
+  CASE WHEN event_id % 5 < 4 THEN 'A' ELSE 'B' END AS addr, event_id % 3 + 1 AS epoch FROM events),
 qn AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY seq) AS rn FROM q),
 st(cluster, rn, seq, migrating, epoch, pending, owner, result) AS (
   SELECT cluster, CAST(0 AS BIGINT), CAST(0 AS BIGINT), FALSE, CAST(0 AS BIGINT), FALSE, '', '' FROM qn WHERE rn = 1 UNION ALL
