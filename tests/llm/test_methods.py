@@ -4,8 +4,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidekeep.llm import chat_format, golay, kdtree, line_dedup, ngram_model, packing, similar, simhash, toxicity
@@ -61,22 +62,64 @@ def test_segments_meet(line, rng):
     for _ in range(2):
         at = rng.randrange(len(other))
         rng.choice([lambda: other.pop(at), lambda: other.insert(at, "x"), lambda: other.__setitem__(at, "y")])()
-    a, b = dict(line_dedup.line_keys(line, 2)), dict(line_dedup.line_keys("".join(other), 2))
-    assert any(a[k] or b[k] for k in a.keys() & b.keys())
-    s = line_dedup.signatures([line, "".join(other)])
+    which, key, own, s = line_dedup.line_index([line, "".join(other), "some other line"], 2)
+    keys = lambda n, mine: {k for w, k, m in zip(which, key, own, strict=True) if w == n and m >= mine}
+    assert keys(0, 1) & keys(1, 0) or keys(0, 0) & keys(1, 1)
     assert int(s[0] ^ s[1]).bit_count() <= 4
 
 
+@given(st.lists(st.text(alphabet="ab\ud800é😀", min_size=3, max_size=12), min_size=1, max_size=6))
+def test_line_index_hashes_substrings(lines):
+    which, key, own, signs = line_dedup.line_index(lines, 2)
+    of, n = {}, 0
+    for starts, sizes, tags, mine, fine in line_dedup.probes(np.array([len(x) for x in lines]), 2):
+        for k in np.flatnonzero(fine).tolist():
+            p, m = int(starts[k]), int(sizes[k])
+            assert (which[n], own[n]) == (k, mine) and of.setdefault((int(tags[k]), lines[k][p : p + m]), key[n]) == key[n]
+            n += 1
+    assert n == len(key) and len(set(of.values())) == len(of)
+    for k, x in enumerate(lines):
+        assert sum(own[which == k]) == 3 and sorted(int(s[k]) for s, _, t, m, _ in line_dedup.probes(np.array([len(y) for y in lines]), 2) if m) == [a for a, _ in line_dedup.segments(len(x), 2)]
+    want = [sum(1 << b for b in range(64) if sum(ord(c) & 63 == b for c in x) % 2) for x in lines]
+    assert [int(x) for x in signs] == want == [int(x) for x in line_dedup.signatures(lines)]
+
+
 def test_word_cache_gives_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(TOKENS)
     texts = ["", " ", "Hello world. It's, fine,, x.", "Ä J̌ Ḱ É. ß, İ Σς.", "<|endoftext|>. <|ENDOFTEXT|>, ok", "a\x1cb c\x85d e.", "5. 5, #t! 日本. 'S. dON'T,", "x" * 3000 + ". y"]
-    for kept in (packing.KEPT_WORDS, 3):
-        words = packing.WordCache(TOKENS, kept)
-        for _ in range(2):
-            for t, ids in zip(texts, words.ids(texts), strict=True):
-                assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+    for held, kept in ((packing.HELD_WORDS, packing.KEPT_WORDS), (3, 2), (30, 7)):
+        words = packing.WordCache(TOKENS, held, kept)
+        for _ in range(3):
+            words.trim()
+            ids, at = words.ids(pa.array([*texts, None]))
+            for t, a, b in zip([*texts, ""], at[:-1], at[1:], strict=True):
+                assert ids[a:b].tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aZ.,'ÀÉßİı\u0301 \n<|>0"), st.characters(exclude_categories=["Cs"])), max_size=30), min_size=1, max_size=4))
+@settings(deadline=None)
+def test_words_are_encoded_as_in_the_text(texts):
+    plain = packing._words(TOKENS)
+    ids, at = plain.ids(pa.array(texts))
+    for t, a, b in zip(texts, at[:-1], at[1:], strict=True):
+        assert ids[a:b].tolist() == plain.encoder.encode(t, add_special_tokens=False).ids
+
+
+def test_merges_are_the_tokenizers():
+    """All words of some documents, and made ones, against the library."""
+    import pyarrow.parquet as pq
+
+    words = {w.lower() for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() for w in t.split() if packing._LETTERS(w)}
+    rng = random.Random(8)
+    words |= {"".join(rng.choice("aabcdeehilnorstéßıłž") for _ in range(rng.randint(1, 30))) for _ in range(20_000)} | {"a" * n for n in range(1, 70)}
+    words = sorted(words)
+    own = packing._words(TOKENS)
+    ids, counts = own.merges.encode(words)
+    at = np.cumsum(counts) - counts
+    found = own.encoder.encode_batch_fast(words, add_special_tokens=False)
+    assert len(words) > 30_000 and all(ids[a : a + n].tolist() == e.ids for a, n, e in zip(at, counts, found, strict=True))
 
 
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 60), max_size=20))

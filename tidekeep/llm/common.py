@@ -2,44 +2,40 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidekeep.sources.shared import forget, stored
+
 #: A word: a run of anything but space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of ids that are broadcast at most.
-SENT = 2_000_000
-
-_own: dict[str, str] = {}
-
+#: Bits of the word numbers of a sieve: it has at most 2 ** WORDS rows, some 16 MB, whatever it is made of.
+WORDS = 20
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a temporary one where it is unset (local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="tidekeep-")
-    return _own[app]
 
+def _place(key: Column) -> tuple[Column, Column]:
+    """The word of a key in a sieve, and its bit there."""
+    h = F.xxhash64(key, F.lit(5))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, WORDS).bitwiseAND(F.lit(63)).cast("int"))
+    return h.bitwiseAND(F.lit((1 << WORDS) - 1)), bit
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: a lineage cut that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def sifted(rows: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows whose key may be in the first column of ids, and rows whose key surely isn't.
 
-def sent(ids: DataFrame, most: int = SENT) -> DataFrame:
-    """A table of a few numbers a row, to be joined to texts: broadcast up to `most` rows (some 32 MB), else shuffled like any other."""
-    ids = stored(ids, "ids")
-    return F.broadcast(ids) if ids.count() <= most else ids
+    ids are hashed to the bits of at most 2 ** WORDS words, a bound that holds at any size, so the words may be broadcast.
+    What may be in ids then meets them in an ordinary join: few rows besides those wanted while ids are under some
+    2 ** (WORDS + 6), and all rows beyond, in the same plan.
+    """
+    word, bit = _place(F.col(ids.columns[0]))
+    words = ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    word, bit = _place(F.col(key))
+    sieve = F.broadcast(stored(words, "sieve"))
+    seen = F.col("_bits").bitwiseAND(bit) != 0
+    maybe = rows.join(sieve, word == F.col("_word")).where(seen).drop("_word", "_bits")
+    others = rows.join(sieve, word == F.col("_word"), "left").where(~F.coalesce(seen, F.lit(False))).drop("_word", "_bits")
+    return maybe, others
 
 
 def rowed(docs: DataFrame) -> DataFrame:
@@ -55,24 +51,15 @@ def rowed(docs: DataFrame) -> DataFrame:
     return stored(placed.withColumn("_row", F.monotonically_increasing_id()).drop("_at"), "rows")
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a table that stored() wrote and nothing needs any more."""
-    spark = df.sparkSession
-    root = shared_dir(spark).split(":", 1)[-1].lstrip("/")
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if root in f}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b long): one row (node, root) for each node of an edge, root its smallest.
+    """Connected components of edges (a, b, of any type with an order): one row (node, root) for each node of an edge, root its smallest.
 
-    Alternates large-star and small-star steps; each is one window over the edges, and each round's edges are
+    Alternates large-star and small-star steps.  A node's smallest neighbour is an aggregate, combined before the shuffle,
+    and comes back by a join that may split a hub's rows, so no task holds all edges of a hub.  Each round's edges are
     written to the shared folder.  Nothing is collected but a count and a checksum.  Null ends are left out.
     """
     cols = [F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")]
@@ -83,12 +70,13 @@ def components(edges: DataFrame) -> DataFrame:
         if mark.n == 0 or mark == last:
             break
         last = mark
-        both = now.union(now.select("v", "u"))
-        near = both.select("u", "v", F.least("u", F.min("v").over(Window.partitionBy("u"))).alias("m"))
-        large = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("m"))
-        ends = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        after = stored(low.select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+        # edges (v, u) of the larger ends v of each centre u, which now hang on its least neighbour
+        large = now.join(near, F.col("v") == F.col("c")).select("u", F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.join(least.select(F.col("u").alias("c"), "m"), F.col("u") == F.col("c")).select("v", "m").union(least.select(F.col("u").alias("v"), "m"))
+        after = stored(low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         forget(now)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(

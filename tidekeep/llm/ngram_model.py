@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidekeep.llm.common import sent, stored
+from tidekeep.llm.common import sifted, stored
 
 CLASSES, ORDER, LANGUAGES = 44, 4, 16
 #: The quantile of trusted perplexities, and the share by which a document may exceed it.
@@ -171,8 +171,9 @@ def train(trusted: DataFrame, languages: int = LANGUAGES) -> dict[str, list]:
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold, kept.  labels: doc_id and trusted (boolean)."""
-    ids = sent(labels.where("trusted").select(F.col("doc_id").cast("long").alias("_id")).distinct())
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    ids = stored(labels.where("trusted").select(F.col("doc_id").cast("long").alias("_id")).distinct(), "trusted")
+    maybe, _ = sifted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), "doc_id", ids)
+    known = maybe.join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
     model = train(known)
     if not len(model[ALL][0][0]):
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.lit(0).cast("long").alias("n_symbols"), F.lit(0.0).alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))

@@ -21,57 +21,116 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidekeep.llm.common import stored
+from tidekeep.llm.bpe import Merges
+from tidekeep.sources.shared import stored
 
 #: Tokens of a sequence, width of a length class, and slices in which a class is ranked.
 CAPACITY, UNIT, SLICES = 4096, 16, 64
-#: Words whose tokens a worker keeps.
-KEPT_WORDS = 1_000_000
+#: Words whose tokens a worker holds (some 200 MB), those that it keeps beyond a task or when there are more (the most
+#: frequent ones), and bytes of texts that are encoded at once (one text at least).
+HELD_WORDS, KEPT_WORDS, BYTES = 1_000_000, 200_000, 12 << 20
 #: Marks that combine with ASCII letters under NFC: texts with them aren't lower-cased ahead.
-_MARK = re.compile("[̀-ͯ]")
+_MARK = "[\u0300-\u036f]"
+#: Words that the tokenizer never splits before its merges: Latin letters that stay letters when lower-cased.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
 
 
 class WordCache:
     """Token ids of whole texts, from a tokenizer that never joins across white space and lower-cases.
 
     A text is the concatenation of its words' ids, and a final full stop or comma after a letter is a token run of
-    its own; so each distinct word is encoded once for a worker.
+    its own; so each distinct word is encoded once for a worker, and texts are put together from their words' numbers.
     """
 
-    def __init__(self, path: str, kept: int = KEPT_WORDS):
+    def __init__(self, path: str, held: int = HELD_WORDS, kept: int = KEPT_WORDS):
         from tokenizers import Tokenizer
 
-        self.encoder, self.words, self.kept = Tokenizer.from_file(path), {}, kept
-
-    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids, as little-endian unsigned 32-bit, of words."""
-        found = self.encoder.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, found, strict=True)}
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        split = []
-        for t in texts:
-            raw = t.encode("utf-8", "replace")
-            split.append((raw if b"<|" in raw or _MARK.search(t) else raw.lower()).split())
-        known = self.words
-        new = {w for words in split for w in words if w not in known}
-        ends = {w for w in new if w[-1] in b".," and w[-2:-1].isalpha() and b"<|" not in w}
-        plain = {w for w in new if w not in ends} | {w[:-1] for w in ends if w[:-1] not in known} | {b".", b","}
-        here = self._encode(list(plain))
-        base = here.get
-        here |= {w: (base(w[:-1]) or known[w[:-1]]) + base(w[-1:]) for w in ends}
-        if len(known) + len(here) <= self.kept:
-            known |= here
-            here = known
-        else:
-            room = self.kept - len(known)
-            for w in list(here)[: max(0, room)]:
-                known[w] = here[w]
-        for words in split:
-            yield b"".join([known[w] if w in known else here[w] for w in words])
+        self.encoder, self.held, self.kept, self.merges = Tokenizer.from_file(path), held, kept, Merges(path)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.pool, self.starts, self.used = np.zeros(1 << 16, np.uint32), np.zeros((1 << 14) + 1, np.int64), 0
+        self.times = np.zeros(1 << 14, np.int64)
+
+    def trim(self) -> None:
+        """Forgets all but the words that were seen most often."""
+        if len(self.numbers) <= self.kept:
+            return
+        words, times = list(self.numbers), self.times[: len(self.numbers)]
+        chosen = np.sort(np.argpartition(-times, self.kept)[: self.kept])
+        low, high = self.starts[chosen], self.starts[chosen + 1]
+        ids, counts = np.concatenate([self.pool[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]), high - low
+        self._clear()
+        self._add([words[k] for k in chosen.tolist()], ids, counts)
+        self.times[: len(chosen)] = times[chosen] // 2
+
+    def _add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Keeps words with their ids, which stand one after another."""
+        n, end = len(self.numbers), self.used + len(ids)
+        if end > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(end, len(self.pool)), np.uint32)])
+        if n + len(words) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts[: n + 1], np.zeros(n + len(words), np.int64)])
+            self.times = np.concatenate([self.times[:n], np.zeros(n + len(words), np.int64)])
+        self.pool[self.used : end] = ids
+        self.starts[n + 1 : n + len(words) + 1] = self.used + np.cumsum(counts)
+        self.numbers.update(zip(words, range(n, n + len(words)), strict=True))
+        self.used = end
+
+    def _encode(self, words: list[str]) -> None:
+        plain = [w for w in words if _LETTERS(w)] if self.merges.fine else []
+        if plain:
+            self._add(plain, *self.merges.encode([w.lower() for w in plain]))
+        rest = [w for w in words if w not in self.numbers]
+        for at in range(0, len(rest), 2000):
+            found = [e.ids for e in self.encoder.encode_batch_fast(rest[at : at + 2000], add_special_tokens=False)]
+            self._add(rest[at : at + 2000], np.array([i for ids in found for i in ids], np.uint32), np.array([len(x) for x in found], np.int64))
+
+    def _learn(self, new: list[str]) -> None:
+        known = self.numbers
+        ends = [w for w in new if w[-1:] in (".", ",") and w[-2:-1].isascii() and w[-2:-1].isalpha() and "<|" not in w]
+        need = set(new).difference(ends)
+        need.update([w[:-1] for w in ends], ".,")
+        self._encode([w for w in need if w not in known])
+        if ends:
+            number = np.array([[known[w[:-1]], known[w[-1]]] for w in ends], np.int64).reshape(-1)
+            places, counts = self._places(number)
+            self._add(ends, self.pool[places], counts[::2] + counts[1::2])
+
+    def _places(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the pool the ids of words stand, and how many each has."""
+        first = self.starts[number]
+        counts = self.starts[number + 1] - first
+        ahead = np.cumsum(counts)
+        return np.repeat(first - ahead + counts, counts) + np.arange(ahead[-1] if len(ahead) else 0), counts
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's begin (and the last one's end)."""
+        texts = pc.fill_null(texts, "")
+        whole = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, _MARK))
+        split = pc.ascii_split_whitespace(pc.if_else(whole, texts, pc.ascii_lower(texts)))
+        words = pc.list_flatten(split).dictionary_encode()
+        vocabulary, at = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+        number = list(map(self.numbers.get, vocabulary))
+        if None in number:
+            if len(self.numbers) + number.count(None) > self.held:
+                self.trim()
+                number = list(map(self.numbers.get, vocabulary))
+            new = [k for k, n in enumerate(number) if n is None]
+            self._learn([vocabulary[k] for k in new])
+            for k in new:
+                number[k] = self.numbers[vocabulary[k]]
+        number = np.array(number, np.int64)
+        self.times[number] += np.bincount(at, minlength=len(number))
+        places, counts = self._places(number[at])
+        after = np.concatenate([[0], np.cumsum(counts)])
+        each = pc.list_value_length(split).to_numpy()
+        return self.pool[places], after[np.concatenate([[0], np.cumsum(each)])]
 
 
 @cache
@@ -85,15 +144,20 @@ def pieces(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = CAPACI
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, tail = _words(tokenizer), np.array([end], "<u4").tobytes()
         for big in batches:
-            for at in range(0, big.num_rows, 256):
-                b = big.slice(at, 256)
+            size = np.cumsum(pc.fill_null(pc.binary_length(big.column(1)), 0).to_numpy()) // BYTES
+            for at, n in zip(*np.unique(size, return_index=True, return_counts=True)[1:], strict=True):
+                b = big.slice(int(at), int(n))
+                ids, bounds = words.ids(b.column(1))
+                view = memoryview(ids.astype("<u4")).cast("B")
                 out: list[tuple] = []
-                for doc, ids in zip(b.column(0).to_pylist(), words.ids([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                    view = memoryview(ids + tail)
-                    total = len(view) // 4
-                    out += [(doc, s, min(capacity, total - s), zlib.crc32(view[4 * s : 4 * (s + capacity)]), total) for s in range(0, total, capacity)]
+                for doc, low, high in zip(b.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    total = high - low + 1
+                    for s in range(0, total, capacity):
+                        crc = zlib.crc32(view[4 * (low + s) : 4 * min(high, low + s + capacity)])
+                        out.append((doc, s, min(capacity, total - s), zlib.crc32(tail, crc) if s + capacity >= total else crc, total))
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        words.trim()  # workers wait between tasks, and other stages need the memory
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")

@@ -2,17 +2,17 @@
 
 A 64-bit SimHash within two bits (see simhash) finds few pairs whose shingle sets are 0.8 alike: such pairs differ in
 about ten bits.  So its links are one source of candidates here, and MinHash bands are the other: BANDS keys of ROWS
-minima each, which miss a pair at 0.8 with a chance of (1 - 0.8 ** 5) ** 18, under 0.001.  Candidates of one key are
-compared by their whole signatures, those that may reach the similarity are verified on the exact shingle sets, and
-links make components.
+minima each, which miss a pair at 0.8 with a chance of (1 - 0.8 ** 4) ** 22, about 1 in 100,000.  Candidates of one key are
+compared by their whole signatures (a pair at the similarity falls short of the cut with a chance under 1e-8), those that
+may reach the similarity are verified on the exact shingle sets, and links make components.
 
-Documents with equal shingle sets count once.  A key with more than RUN of them isn't listed in pairs: it is compared in
-blocks, each two of them in a task with the exact sets at hand, and only a spanning set of verified links leaves a task.
-So no group is gathered in one task, none is capped, and rows don't grow with the square of a group.
+Documents with equal shingle sets count once.  A key with more than RUN of them isn't listed in pairs: all its sets are
+compared with one of them, the pivot.  Sets as similar to it are linked to it, so only pairs with a set that isn't remain:
+blocks of those meet blocks of all, each two blocks in a task, and only a spanning set of verified links leaves a task.
 
 Defined cases: null texts and texts without words have the empty set and are copies of each other; texts of fewer words
-than a shingle are one shingle; repeated rows are copies; an empty table gives an empty table.  The key must be unique and
-never null, as texts are fetched by it: see common.rowed.
+than a shingle are one shingle; texts of any length pass whole; repeated rows are copies; an empty table gives an empty
+table.  The key must be unique and never null, as texts are fetched by it: see common.rowed.
 """
 
 from __future__ import annotations
@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidekeep.llm import simhash
-from tidekeep.llm.common import components, sent, stored
+from tidekeep.llm.common import components, sifted
+from tidekeep.sources.shared import stored
 
-BANDS, ROWS = 18, 5
+BANDS, ROWS = 22, 4
 #: Sets of a key whose pairs are listed, and sets of a block beyond that.
 RUN, BLOCK = 16, 256
 #: Standard errors by which a signature may fall short of the similarity.
-SLACK = 3.0
+SLACK = 6.0
 _RNG = np.random.default_rng(20240501)
 _A, _B = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1), _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
@@ -110,16 +111,20 @@ def candidates(sets: DataFrame, similarity: float, run: int = RUN) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long, key long")
 
 
-def block_links(hot: DataFrame, full: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+def _alike(x, y, similarity: float):
+    common = F.size(F.array_intersect(x, y))
+    return common >= F.lit(similarity) * (F.size(x) + F.size(y) - common)
+
+
+def hot_links(hot: DataFrame, full: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
     """Links (a, b) among the nodes of each large key (key, node), verified on their sets (node, sign, shingles)."""
     least = _least(similarity)
 
-    def cell(frame):
+    def cell(_, some, every):
         import pandas as pd
 
-        frame = frame.drop_duplicates("node")
-        node, signs = frame["node"].to_numpy(), _matrix(frame["sign"])
-        own = [np.asarray(x) for x in frame["shingles"]]
+        node, signs = every["node"].to_numpy(), _matrix(every["sign"])
+        own = [np.asarray(x) for x in every["shingles"]]
         up = list(range(len(node)))
 
         def find(i: int) -> int:
@@ -128,21 +133,37 @@ def block_links(hot: DataFrame, full: DataFrame, similarity: float, block: int =
                 i = up[i]
             return i
 
+        place = {x: i for i, x in enumerate(node.tolist())}
         found = []
-        for i in range(len(node) - 1):
-            for j in (i + 1 + np.flatnonzero((signs[i + 1 :] == signs[i]).sum(axis=1) >= least)).tolist():
-                if find(i) == find(j):
+        for x, sign, mine in zip(some["node"].tolist(), _matrix(some["sign"]), some["shingles"], strict=True):
+            at = place.get(x)
+            if at is None:  # a set that isn't in this block of all sets takes part for now
+                at = len(up)
+                up.append(at)
+            mine = np.asarray(mine)
+            for j in np.flatnonzero((signs == sign).sum(axis=1) >= least).tolist():
+                if find(at) == find(j):
                     continue
-                common = len(np.intersect1d(own[i], own[j], assume_unique=True))
-                if common >= similarity * (len(own[i]) + len(own[j]) - common):
-                    up[max(find(i), find(j))] = min(find(i), find(j))
-                    found.append((node[i], node[j]))
+                common = len(np.intersect1d(mine, own[j], assume_unique=True))
+                if common >= similarity * (len(mine) + len(own[j]) - common):
+                    up[find(at)] = find(j)
+                    found.append((x, node[j]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    dealt = hot.join(blocks, "key").withColumn("at", F.pmod(F.xxhash64("node"), "n").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    cells = dealt.join(full, "node").groupBy("key", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"))
-    return cells.applyInPandas(cell, "a long, b long")
+    hot = stored(hot.distinct(), "hot-keys")
+    pivots = hot.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n"))
+    of = pivots.join(full.select(F.col("node").alias("pivot"), F.col("shingles").alias("y")), "pivot")
+    met = hot.join(of, "key").join(full.select("node", F.col("shingles").alias("x")), "node")
+    met = stored(met.select("key", "node", "pivot", "n", _alike("x", "y", similarity).alias("near")), "hot-pivots")
+    star = met.where("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    far = met.where("not near")
+    left = far.groupBy("key").agg(F.count("*").alias("m"))
+    slot = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / block)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("int"), F.ceil(F.col(n) / block).cast("int") - 1))
+    some = far.join(left, "key").select("key", slot("m").alias("u"), every("n").alias("v"), "node").join(full, "node")
+    rest = met.join(left, "key").select("key", slot("n").alias("v"), every("m").alias("u"), "node").join(full, "node")
+    some, rest = (x.toDF(*x.columns) for x in (some, rest))  # columns of their own, although both come from one table
+    return star.union(some.groupBy("key", "u", "v").cogroup(rest.groupBy("key", "u", "v")).applyInPandas(cell, "a long, b long"))
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id", run: int = RUN, block: int = BLOCK) -> DataFrame:
@@ -157,7 +178,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
     hot = banded.where("key is not null").select("key", F.col("a").alias("node"))
     pairs = near.union(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(banded.where("key is null").select("a", "b"))
     pairs = stored(pairs.where("a <> b").distinct(), "pairs")
-    needed = sent(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(hot.select("node")).distinct().join(sets.select("node", "least"), "node"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(hot.select("node")).distinct()
+    needed = stored(wanted.join(sets.select("node", F.col("least").alias("need")), "node").select("need", "node"), "needed")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -167,12 +189,12 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], ["node", "shingles"])
 
     bodies = docs.select(F.col(key).cast("long").alias("least"), F.col(text).cast("string").alias("body"))
-    full = bodies.join(needed, "least").select("node", "body").mapInArrow(whole, "node long, shingles array<long>").dropDuplicates(["node"])
+    maybe, _ = sifted(bodies, "least", needed)
+    full = maybe.join(needed, F.col("least") == F.col("need")).select("node", "body").mapInArrow(whole, "node long, shingles array<long>").dropDuplicates(["node"])
     full = stored(full, "shingles")
     both = pairs.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    edges = both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
-    edges = edges.union(block_links(hot, full.join(sets.select("node", "sign"), "node"), similarity, block))
+    edges = both.where(_alike("x", "y", similarity)).select("a", "b")
+    edges = edges.union(hot_links(hot, full.join(sets.select("node", "sign"), "node"), similarity, block))
     parts = components(edges).withColumnRenamed("node", "_node")
     named = sets.select("node", "least").join(parts, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
