@@ -259,7 +259,9 @@ def links(docs: DataFrame, min_chars: int = MIN_CHARS, errors: int = ERRORS, tex
     found = stored(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long, key long").distinct(), "line-candidates")
     needed = found.select(F.explode(F.array("a", "b")).alias("need")).distinct()
     maybe, _ = sifted(lines(docs.select(F.lit(0).alias("doc_id"), F.col(text).alias("text")), "text").select("h", "g", "line"), "h", needed)
-    texts = stored(maybe.join(needed, F.col("h") == F.col("need"), "left_semi").groupBy("h", "g").agg(F.min("line").alias("line")), "line-texts")
+    # copies are combined before they are dealt by h, and the join is the same at every size
+    some = maybe.groupBy("h", "g").agg(F.min("line").alias("line"))
+    texts = stored(some.join(needed.hint("merge"), F.col("h") == F.col("need"), "left_semi"), "line-texts")
     side = lambda name, text: texts.select(F.col("h").alias(name), F.col("g").alias(f"{name}g"), F.col("line").alias(text))
     four = lambda df: df.select(F.struct(F.col("ah").alias("h"), F.col("ag").alias("g")).alias("a"), F.struct(F.col("bh").alias("h"), F.col("bg").alias("g")).alias("b"))
     pairs = found.where("key is null").select(F.col("a").alias("ah"), F.col("b").alias("bh"))
@@ -303,5 +305,5 @@ def without_repeats(docs: DataFrame, classed: DataFrame, text: str = "text", key
     drop = stored(classed.where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("_drop")).withColumnRenamed("doc_id", "_doc"), "line-drops")
     maybe, others = sifted(docs, key, drop.select("_doc"))
     kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("_drop", i))
-    joined = maybe.join(drop, F.col(key).cast("long") == F.col("_doc"), "left")
+    joined = maybe.join(drop.hint("merge"), F.col(key).cast("long") == F.col("_doc"), "left")
     return joined.withColumn(text, F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).drop("_doc", "_drop").unionByName(others)

@@ -190,7 +190,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
 
     bodies = docs.select(F.col(key).cast("long").alias("least"), F.col(text).cast("string").alias("body"))
     maybe, _ = sifted(bodies, "least", needed)
-    full = maybe.join(needed, F.col("least") == F.col("need")).select("node", "body").mapInArrow(whole, "node long, shingles array<long>").dropDuplicates(["node"])
+    full = maybe.join(needed.hint("merge"), F.col("least") == F.col("need")).select("node", "body").mapInArrow(whole, "node long, shingles array<long>").dropDuplicates(["node"])
     full = stored(full, "shingles")
     both = pairs.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     edges = both.where(_alike("x", "y", similarity)).select("a", "b")
