@@ -51,7 +51,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = similar.near_copies(rows, shingle=5, similarity=0.8, key="_row")
     gone = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "gone")
     maybe, others = sifted(rows, "_row", gone)
-    return maybe.join(gone, F.col("_row") == F.col("_gone"), "left_anti").unionByName(others).select(*COLUMNS)
+    return maybe.join(gone.hint("merge"), F.col("_row") == F.col("_gone"), "left_anti").unionByName(others).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
