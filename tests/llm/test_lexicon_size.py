@@ -13,14 +13,14 @@ def test_rare_terms_of_many_toxic_documents(spark):
     rows = [(" ".join(terms[(i + 200 * k) % n] for k in range(12)) + " plain words", 1) for i in range(n)] + [("plain words of no kind", 0)] * n
     found = toxicity.mined(spark.createDataFrame(rows, "text string, toxic int").repartition(4), n, n)
     lexicon = toxicity.Lexicon(found)
-    assert len(set(terms)) == n and all(lexicon.of(t) == 0 for t in terms)
-    assert lexicon.of("plain") == -1
+    assert len(set(terms)) == n and all(lexicon.of(t)[1] == 0 for t in terms)
+    assert lexicon.of("plain")[1] == -1
 
 
 def test_index_equals_the_automaton():
     rng = random.Random(6)
     word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
-    entries = list({(word(rng.randint(3, 13)), False): None for _ in range(150)}) + [(word(n), True) for n in (5, 6, 8)]
+    entries = list({(word(rng.randint(3, 13)), False, 1.0): None for _ in range(150)}) + [(word(n), True, 1.0) for n in (5, 6, 8)]
     lexicon = toxicity.Lexicon(entries)
     found = []
     for _ in range(3000):
@@ -28,6 +28,6 @@ def test_index_equals_the_automaton():
         for _ in range(rng.randrange(4)):
             at = rng.randrange(len(base))
             rng.choice([lambda: len(base) > 1 and base.pop(at), lambda: base.insert(at, rng.choice("abcd")), lambda: base.__setitem__(at, "x")])()
-        found.append(lexicon.of("".join(base)))
+        found.append(lexicon.of("".join(base))[1])
         assert found[-1] == lexicon.errors("".join(base))
     assert {-1, 0, 1, 2} <= set(found)

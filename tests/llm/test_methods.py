@@ -151,10 +151,10 @@ def test_price_is_the_best_pattern():
         assert abs(value - best[30]) < 1e-9 and abs(pattern @ duals - value) < 1e-9 and pattern @ sizes <= 30
 
 
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "", "a\n[INST]"]), st.text(alphabet="</s>[INST]\\ é\n", max_size=30)), max_size=5))
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "", "a\n[INST]"]), st.one_of(st.text(alphabet="</s>[INST]\\ é\n", max_size=30), st.just("a <|endoftext|> b <\\|endoftext|>"))), max_size=5))
 def test_chat_round_trip(turns):
-    text, spans = chat_format.render(turns)
-    assert chat_format.parse(text) == turns
+    text, spans = chat_format.render(turns, chat_format.controls(("<|endoftext|>",)))
+    assert chat_format.parse(text) == turns and "<|endoftext|>" not in text
     assert [chat_format.unescape(text[a:b]) for a, b in spans] == [t for r, t in turns if r == "assistant"]
     assert sum(text.count(m) for m in chat_format.MARKS) == 4 * len(turns)
 
@@ -172,24 +172,52 @@ def test_kd_search(shape):
 
 
 def test_lexicon():
-    lex = toxicity.Lexicon([("idiot", False), ("disgusting", False), ("lowei", True), ("bad", False)])
-    got = {w: lex.of(w) for w in ["idiot", "Xidiot".lower(), "id1ot", "idit", "(idiot)!", "idoit", "disgusting", "disgsting", "dizgustng", "loweisp", "lowe", "low", "bad", "bed", "", "the"]}
-    assert got == {"idiot": 0, "xidiot": 1, "id1ot": 1, "idit": 1, "(idiot)!": 0, "idoit": -1, "disgusting": 0, "disgsting": 1, "dizgustng": 2, "loweisp": 0, "lowe": -1, "low": -1, "bad": 0, "bed": -1, "": -1, "the": -1}
-    quoted, plain = toxicity.features(lex, 'he said "idiot" there'), toxicity.features(lex, "you idiot there")
-    assert quoted[1] > 0 == quoted[0] and plain[0] > 0 == plain[1]
+    lex = toxicity.Lexicon([("idiot", False, 0.9), ("disgusting", False, 0.5), ("lowei", True, 0.7), ("bad", False, 1.0)], frozenset(["idiom"]))
+    assert toxicity.Lexicon(lex.entries, strict=frozenset(["idiot"])).of("idit")[1] == -1
+    got = {w: lex.of(w) for w in ["idiot", "xidiot", "id1ot", "idit", "(idiot)!", "idoit", "disgusting", "disgsting", "dizgustng", "loweisp", "lowe", "low", "bad", "bed", "", "the", "idiom"]}
+    errors = {"idiot": 0, "xidiot": 1, "id1ot": 1, "idit": 1, "(idiot)!": 0, "idoit": -1, "disgusting": 0, "disgsting": 1, "dizgustng": 2, "loweisp": 0, "lowe": -1, "low": -1, "bad": 0, "bed": -1, "": -1, "the": -1, "idiom": -1}
+    assert {w: e for w, (_, e, _) in got.items()} == errors
+    assert got["idiot"][0] == 0.9 and got["loweisp"][0] == 0.7 and abs(got["dizgustng"][0] - 0.5 * toxicity.DISCOUNT**2) < 1e-12 and got["bed"][0] == 0
 
 
-def test_lexicon_filter_loses_nothing():
+def test_context_scores():
+    lex = toxicity.Lexicon([("idiot", False, 1.0)])
+    value = lambda text: toxicity.features(lex, text)[0][1]
+    plain, near, far, told, address = map(value, ["a b idiot c d", 'a "b idiot c" d', 'a "b c d e f idiot g h i j" k', "he said idiot to c", 'you "idiot" c d'])
+    assert plain == 1 and near < far < plain and told < plain and value('"idiot"') < near and value('"idiot" c d') < address < plain
+    assert value("he said a b c idiot") > told and value('he said "idiot" c') < value('"idiot" c d')
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_lexicon_against_edit_distances():
     rng = random.Random(4)
-    entries = [("".join(rng.choice("abc") for _ in range(n)), False) for n in (3, 5, 6, 9, 10)]
+    entries = [("".join(rng.choice("abc") for _ in range(n)), False, n / 20) for n in (3, 5, 6, 6, 9, 10)]
     lex = toxicity.Lexicon(entries)
-    for _ in range(4000):
+    for _ in range(3000):
         base = list(rng.choice(entries)[0])
         for _ in range(rng.randrange(3)):
             at = rng.randrange(len(base))
             rng.choice([lambda: base.pop(at), lambda: base.insert(at, rng.choice("abc")), lambda: base.__setitem__(at, "x")])()
         w = "".join(base)
-        assert lex.of(w) == lex.errors(w)
+        fits = [(s * toxicity.DISCOUNT**d, d, e) for e, _, s in entries if (d := levenshtein(w, e)) <= toxicity.allowed(len(e))]
+        exact = [f for f in fits if f[1] == 0]
+        assert lex.of(w) == max(exact or fits, default=(0.0, -1, "")) and lex.errors(w) == min((d for _, d, _ in fits), default=-1)
+
+
+def test_weights_are_not_negative():
+    rng = np.random.default_rng(0)
+    x = rng.random((400, 3))
+    y = (x[:, 0] - x[:, 1] + 0.1 * rng.normal(size=400) > 0).astype(float)
+    w = toxicity.fit(x, y, np.ones(400))
+    assert (w[:-1] >= 0).all() and w[1] == 0 and w[0] > 1
 
 
 def test_grams_and_signature():

@@ -2,14 +2,14 @@
 
 A conversation is rendered whole, each turn as <s>[INST]role[/INST]text</s>, and encoded once with offsets, the four
 marks being tokens of their own.  The spans of the assistant's texts are intersected with the token spans by binary
-search.  Inside roles and texts a backslash is doubled and a mark gets one after its first character, so the marks of
-the rendered text are the template's alone and removing escapes gives back every text.
+search.  Inside roles and texts a backslash is doubled, and a mark or any control string of the tokenizer gets one after its
+first character, so control tokens of the rendered text are the template's alone and removing escapes gives back every text.
 
 Rows are sorted by conversation inside partitions and pass as a stream; one conversation is held at a time.
 
 Defined cases: null texts and roles are empty; turns sort by turn, role and text (null turns first), repeated rows are
-repeated turns; rows with null conv_id form one conversation; an empty table gives an empty table; further columns are
-ignored.
+repeated turns; a row with a null conv_id is a conversation of its own, so such rows never gather in one task; texts of any
+length pass whole; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,25 +24,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARKS = ("<s>", "</s>", "[INST]", "[/INST]")
-_MARK = re.compile(r"<(/?s>)|\[(/?INST\])")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(r"<s>\[INST\](.*?)\[/INST\](.*?)</s>", re.DOTALL)
 SCHEMA = "conv_id long, text string, input_ids array<int>, loss_tokens array<struct<lo:int,hi:int>>, loss_spans array<struct<lo:int,hi:int>>"
 
 
-def escape(text: str) -> str:
-    return _MARK.sub(lambda m: f"{m[0][0]}\\{m[0][1:]}", text.replace("\\", "\\\\"))
+def controls(strings: tuple[str, ...] = ()) -> re.Pattern:
+    """The marks and further control strings, the longest first."""
+    return re.compile("|".join(re.escape(x) for x in sorted({*MARKS, *strings} - {""}, key=lambda x: (-len(x), x))))
+
+
+def escape(text: str, control: re.Pattern = controls()) -> str:
+    return control.sub(lambda m: f"{m[0][0]}\\{m[0][1:]}", text.replace("\\", "\\\\"))
 
 
 def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
+def render(turns: list[tuple[str, str]], control: re.Pattern = controls()) -> tuple[str, list[tuple[int, int]]]:
     """The rendered conversation, and the code point spans of the assistant's texts in it."""
     out, spans, at = [], [], 0
     for role, text in turns:
-        head, body = f"<s>[INST]{escape(role)}[/INST]", escape(text)
+        head, body = f"<s>[INST]{escape(role, control)}[/INST]", escape(text, control)
         if role == "assistant":
             spans.append((at + len(head), at + len(head) + len(body)))
         out += [head, body, "</s>"]
@@ -68,18 +72,20 @@ def _encoder(path: str):
     from tokenizers import Tokenizer, processors
 
     t = Tokenizer.from_file(path)
+    own = controls(tuple(x.content for x in t.get_added_tokens_decoder().values()))
     t.post_processor = processors.ByteLevel(trim_offsets=False)
     t.encode_special_tokens = False
     t.add_special_tokens(list(MARKS))
-    return t
+    return t, own
 
 
 def formatted(rows: DataFrame, tokenizer: str) -> DataFrame:
     """One row per conversation: its text, token ids, and the loss mask as token ranges and as code point ranges."""
 
     def one(conv: int | None, turns: list[tuple[str, str]]) -> tuple:
-        text, spans = render(turns)
-        found = _encoder(tokenizer).encode(text, add_special_tokens=False)
+        encoder, control = _encoder(tokenizer)
+        text, spans = render(turns, control)
+        found = encoder.encode(text, add_special_tokens=False)
         offsets = np.array(found.offsets, dtype=np.int64).reshape(-1, 2)
         tokens = mask(spans, offsets[:, 0], offsets[:, 1]) if spans else []
         chars = [(int(offsets[lo, 0]), int(offsets[hi - 1, 1])) for lo, hi in tokens if hi > lo]
@@ -96,7 +102,7 @@ def formatted(rows: DataFrame, tokenizer: str) -> DataFrame:
         now, turns, done, size = object(), [], [], 0
         for b in batches:
             for conv, role, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if conv != now:
+                if conv is None or conv != now:
                     if turns:
                         done.append(one(now, turns))
                         size += len(done[-1][1])
@@ -111,7 +117,9 @@ def formatted(rows: DataFrame, tokenizer: str) -> DataFrame:
             yield batch(done)
 
     own = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, SCHEMA)
+    # rows without an id are dealt by what they hold
+    apart = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    return own.repartition("conv_id", apart).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, SCHEMA)
 
 
 def digests(done: DataFrame) -> DataFrame:

@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidekeep.llm.common import WORD, stored
+from tidekeep.llm.common import WORD
+from tidekeep.sources.shared import stored
 
 GRID, SECTIONS = 4096, 64
 #: Bits of the permutation hash, and those of a bucket.
@@ -87,16 +88,19 @@ def exponent(shares: DataFrame, min_entropy: float | None, max_passes: float | N
     return out
 
 
-def plan(docs: DataFrame, min_entropy: float | None = 0.95, max_passes: float | None = 4.0, budget: int | None = None, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+def plan(docs: DataFrame, min_entropy: float | None = 0.95, max_passes: float | None = 4.0, budget: int | None = None, key: str = "doc_id", source: str = "source", text: str = "text", budget_percent: int | None = None) -> DataFrame:
     """One row per source: mix_source, tokens, weight, quota, passes (whole ones) and last (the last pass takes rows up to this hash).
 
-    Without a budget it is the smallest that drops nothing: the source with the fewest passes passes once.
+    The budget is a number of tokens, or a percentage of the tokens there are.  Without one it is the smallest that drops
+    nothing: the source with the fewest passes passes once.
     """
     rows = docs.select(F.coalesce(F.col(source).cast("string"), F.lit(NONE)).alias("mix_source"), permuted(F.col(key)).alias("perm"), tokens(text).alias("tokens"))
     rows = stored(rows.withColumn("bucket", F.shiftright("perm", BITS - BUCKET)), "mix-rows")
     buckets = stored(rows.groupBy("mix_source", "bucket").agg(F.sum("tokens").alias("tokens")), "mix-buckets")
     sources = stored(buckets.groupBy("mix_source").agg(F.sum("tokens").alias("tokens")), "mix-sources")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
+    if budget_percent is not None:
+        budget = total * budget_percent // 100
     shares = sources.where("tokens > 0").select((F.col("tokens") / F.lit(float(total or 1))).alias("p"), F.lit(float(total)).alias("total"))
     g = exponent(shares, min_entropy, max_passes, budget)
     u = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(float(total or 1)), F.lit(g / GRID))).otherwise(0.0)

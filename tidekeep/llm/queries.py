@@ -12,9 +12,12 @@ from tidekeep.llm.common import read
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every copy of a document in the mix: its pass, block and order, with its source's weight."""
+    """Every copy of a document in the mix: its pass, block and order, with its source's weight.
+
+    The weights have 0.995 of the greatest entropy, and the budget is one and a half times the corpus's tokens.
+    """
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    planned = mixing.plan(docs, min_entropy=0.95, max_passes=4.0)
+    planned = mixing.plan(docs, min_entropy=0.995, max_passes=None, budget_percent=150)
     rows = mixing.mix(docs.select("doc_id", "source"), planned)
     weights = planned.select(F.col("mix_source").alias("_of"), "exponent", F.round("weight", 9).alias("weight"), "quota")
     named = rows.withColumn("_key", F.coalesce("source", F.lit(mixing.NONE)))
@@ -22,12 +25,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of a fifth of the documents, by crc32 of the id, are held out."""
+    """Labels of a fifth of the documents, by crc32 of the id, are held out; a document without an id is in no fifth."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = lambda c: F.pmod(F.crc32(c.cast("string")), F.lit(5)) == 0
     labels = read(spark, sf_dir, "labels").where(~out(F.col("doc_id")))
     scored = toxicity.score(docs, *toxicity.learn(docs, labels))
-    return scored.select("doc_id", out(F.col("doc_id")).alias("held_out"), "score", "predicted", "hits")
+    return scored.select("doc_id", F.coalesce(out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", "hits", "misspelled")
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +47,9 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels: pages whose id has a label of low quality count as block."""
-    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("block"))
-    return url_filter.url_filter(read(spark, sf_dir, "pages").select("page_id", "url"), labels).select("page_id", "host", "path", "rule", "verdict")
+    """Labels: what the list of rules says of the pages that it judges; the mined rules judge the others."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.url_filter(pages, url_filter.listed_urls(pages)).select("page_id", "host", "path", "rule", "verdict", "mined")
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:

@@ -17,11 +17,11 @@ MIXING = rf"""WITH t AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(
 s AS (SELECT source, sum(tokens)::BIGINT AS tokens FROM t GROUP BY source), tot AS (SELECT sum(tokens)::DOUBLE AS total FROM s),
 sh AS (SELECT tokens / total AS p FROM s, tot WHERE tokens > 0), n AS (SELECT count(*) AS n FROM sh),
 u AS (SELECT g.range AS g, p, pow(p, g.range / 4096) AS u FROM sh, range(0, 4097) g),
-a AS (SELECT g, ln(sum(u)) - sum(u * ln(u)) / sum(u) AS entropy, max(u / p) / min(u / p) AS passes FROM u GROUP BY g),
-e AS (SELECT CASE WHEN (SELECT n FROM n) < 2 THEN 4096 ELSE greatest(coalesce((SELECT max(g) FROM a WHERE entropy >= 0.95 * ln((SELECT n FROM n))), 0), coalesce((SELECT min(g) FROM a WHERE passes <= 4.0), 4096)) END AS g),
+a AS (SELECT g, ln(sum(u)) - sum(u * ln(u)) / sum(u) AS entropy FROM u GROUP BY g),
+e AS (SELECT CASE WHEN (SELECT n FROM n) < 2 THEN 4096 ELSE coalesce((SELECT max(g) FROM a WHERE entropy >= 0.995 * ln((SELECT n FROM n))), 0) END AS g),
 w AS (SELECT source, tokens, CASE WHEN tokens > 0 THEN pow(tokens / total, (SELECT g FROM e) / 4096) ELSE 0 END AS u FROM s, tot),
-z AS (SELECT sum(u) AS z, max(CASE WHEN u > 0 THEN tokens / u END) AS per FROM w),
-q AS (SELECT source, tokens, u / z AS weight, round(u * per)::BIGINT AS quota FROM w, z),
+z AS (SELECT sum(u) AS z, (sum(tokens) * 150 // 100)::BIGINT AS budget FROM w),
+q AS (SELECT source, tokens, u / z AS weight, round(u * (budget / z))::BIGINT AS quota FROM w, z),
 r AS (SELECT *, CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END AS passes, CASE WHEN tokens > 0 THEN quota % tokens ELSE 0 END AS rest FROM q),
 c AS (SELECT t.doc_id, t.source, perm, weight, quota, r.tokens AS total, passes, CASE WHEN rest > 0 AND sum(t.tokens) OVER (PARTITION BY t.source ORDER BY perm) <= rest THEN 1 ELSE 0 END AS more FROM t JOIN r ON t.source = r.source),
 b AS (SELECT greatest(1, ceil(sum(quota) / 1048576))::BIGINT AS blocks FROM q),
@@ -46,7 +46,9 @@ f AS (SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_word
   + 16 * (100 * n_shouts > 10 * n_words)::BIGINT + 32 * (100 * n_upper > 50 * word_chars)::BIGINT + 64 * (word_chars < 2 * n_words)::BIGINT + 128 * (word_chars > 20 * n_words)::BIGINT AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM f"""
 
+_CONTROL = r"\\|</?s>|\[/?INST\]|<\|endoftext\|>"
+
 CHAT = rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-n AS (SELECT *, len(role) + len(text) + 20 + len(regexp_extract_all(role, '\\|</?s>|\[/?INST\]')) + len(regexp_extract_all(text, '\\|</?s>|\[/?INST\]')) AS size FROM c)
+n AS (SELECT *, len(role) + len(text) + 20 + len(regexp_extract_all(role, '{_CONTROL}')) + len(regexp_extract_all(text, '{_CONTROL}')) AS size FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars FROM n GROUP BY conv_id"""

@@ -1,18 +1,26 @@
-"""Toxicity by a lexicon that is mined from labels, matched through Levenshtein automata over its trie.
+"""Toxicity by a lexicon that is mined from labels, matched by Levenshtein automata over its tries.
 
-learn() takes words and word stems that labelled toxic documents hold far more often than clean ones, and fits a logistic
-regression on counts of hits by kind: exact or misspelled, and plain or in a context that quotes.  score() matches every
-token of a text against all entries.  An entry of WORD letters or more may be one edit away, one of LONG two; stems (which
-any ending may follow) are exact.  What an entry accepts is defined by Lexicon.errors(), a Levenshtein automaton over the
-trie of entries.  Its cost grows with the lexicon, so Lexicon.of() gives the same result from an index: errors + 1 segments
-of each entry, one of which any such edits leave intact, and banded bit-parallel edit distance for the entries found.
+learn() takes words and word stems that labelled toxic documents hold far more often than clean ones, each with a severity,
+and fits a logistic regression without negative weights.  score() matches every token of a text against all entries.  An
+entry of WORD letters or more may be one edit away, one of LONG two; stems (which any ending may follow) are exact.
+
+Matching: an entry is cut into errors + 1 segments, one of which any such edits leave intact, and stands in one small trie
+for each (its length, the segment's number and characters).  A token's automaton (a bit-parallel one: a machine word of
+reached places for each number of errors) is intersected with the tries of its own substrings only, so the cost hardly
+depends on the lexicon's size; Lexicon.errors() walks the trie of all entries, for comparison.
+
+A hit counts its entry's severity, times DISCOUNT for each error, times what its context leaves: quotation() scores a window
+of tokens around it from 0 (abuse) to nearly 1 (quoted).  All features grow with what hits count and no weight is negative,
+so a misspelled insult scores above clean text, and a quoted one below the same unquoted.  A token that CLEAN clean
+documents of the sample hold is a word of its own, not a misspelling; an entry of which CLEAN clean documents hold what
+seem other misspellings lies too near to common words, and is matched without errors.
 
 Labels are learned from a bounded sample of SAMPLE toxic and as many clean documents, by hash order; all documents are
 scored, over their whole texts.
 
 Defined cases: null and empty texts have no hits and get the score of the intercept; without labels of both kinds every
-score is the share of toxic labels (0 without labels); repeated rows are scored alike; an empty table gives an empty
-table; further columns are ignored.
+score is the share of toxic labels (0 without labels); repeated rows and ids are scored alike; texts of any length pass
+whole; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,22 +35,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidekeep.llm.common import stored
-from tidekeep.llm.line_dedup import distance, segments
+from tidekeep.llm.line_dedup import segments
+from tidekeep.sources.shared import stored
 
 #: Labelled documents of each kind that are learned from.
 SAMPLE = 20_000
 #: Least toxic documents with an entry, and least odds against clean ones; the lexicon has no further bound.
 LEAST, ODDS = 5, 20.0
-#: Letters from which an entry may have one error, and two.
-WORD, LONG = 5, 9
+#: Clean documents of the sample that make a token a word of its own, and an entry one without errors.
+CLEAN = 2
+#: Letters from which an entry may have one error, and two; what a hit keeps for each error.
+WORD, LONG, DISCOUNT = 5, 9, 0.6
 STEM = range(4, 9)
 #: Tokens around a hit that are its context, and tokens that a worker keeps.
-WINDOW, KEPT = 6, 700_000
+WINDOW, KEPT = 6, 400_000
+#: What marks around a hit, a word of reporting before it, and someone addressed near it change.
+MARKED, REPORTED, ADDRESSED = 0.7, 0.6, 0.5
 QUOTES = re.compile("[\"“”„«»‹›]")
 REPORTING = frozenset("said says called calling quote quoted wrote word term dit appelé mot cite sagte nannte wort zitat dijo llamó palabra cita".split())
+ADDRESS = frozenset("you your du dich dein ihr tu toi vous votre tú ti usted".split())
 _EDGE = re.compile(r"^\W+|\W+$")
-FEATURES = 6
+FEATURES = 3
+
+#: An entry: its text, whether it is a stem, its severity (over 0, 1 at most).
+Entry = tuple[str, bool, float]
 
 
 def allowed(letters: int) -> int:
@@ -50,108 +66,139 @@ def allowed(letters: int) -> int:
     return 0 if letters < WORD else 1 if letters < LONG else 2
 
 
+def accepted(trie: dict, token: str, errors: int) -> Iterator[tuple[float, str, int]]:
+    """(severity, text, errors) of the entries of a trie that the token's Levenshtein automaton accepts.
+
+    A state has, for each number of errors, the places of the token that are reached, as bits.
+    """
+    size = len(token)
+    at: dict[str, int] = {}
+    for j, c in enumerate(token):
+        at[c] = at.get(c, 0) | 1 << j
+    stack = [(trie, tuple((1 << e + 1) - 1 for e in range(errors + 1)))]
+    while stack:
+        node, state = stack.pop()
+        if "" in node:
+            for e, bits in enumerate(state):
+                if bits >> size & 1:
+                    yield *node[""], e
+                    break
+        for c, child in node.items():
+            if c == "":
+                continue
+            same = at.get(c, 0)
+            after = [(state[0] & same) << 1]
+            for e in range(1, errors + 1):
+                after.append((state[e] & same) << 1 | state[e - 1] | state[e - 1] << 1 | after[e - 1] << 1)
+            if any(after):
+                stack.append((child, tuple(after)))
+
+
+def _insert(trie: dict, text: str, severity: float) -> None:
+    for c in text:
+        trie = trie.setdefault(c, {})
+    trie[""] = (severity, text)
+
+
 class Lexicon:
-    """Entries (text, whether it is a stem), as an index of exact forms and of segments, and as a trie."""
+    """Entries, as tables of exact forms and as tries of what may be misspelled.
+
+    own: tokens that are no misspellings; strict: entries that are matched without errors.
+    """
 
-    def __init__(self, entries: list[tuple[str, bool]]):
-        self.entries = entries
-        self.words = {text for text, stem in entries if not stem}
-        self.stems = {text for text, stem in entries if stem}
+    def __init__(self, entries: list[Entry], own: frozenset[str] = frozenset(), strict: frozenset[str] = frozenset()):
+        self.entries, self.own, self.strict = entries, own, strict
+        self.words = {text: severity for text, stem, severity in entries if not stem}
+        self.stems = {text: severity for text, stem, severity in entries if stem}
         self.stem_sizes = sorted({len(t) for t in self.stems})
-        #: Words with errors by (length, segment, its characters), and the errors by length.
-        self.index: dict[tuple[int, int, str], list[str]] = {}
+        #: Tries by (length, segment, its characters), and the errors by length.
+        self.tries: dict[tuple[int, int, str], dict] = {}
         self.sizes: dict[int, int] = {}
-        for text in self.words:
-            if errors := allowed(len(text)):
+        for text, severity in self.words.items():
+            if errors := self.allowed(text):
                 self.sizes[len(text)] = errors
                 for i, (at, n) in enumerate(segments(len(text), errors)):
-                    self.index.setdefault((len(text), i, text[at : at + n]), []).append(text)
-        self.known: dict[str, int] = {}
+                    _insert(self.tries.setdefault((len(text), i, text[at : at + n]), {}), text, severity)
+        self.known: dict[str, tuple[float, int, str]] = {}
+
+    def allowed(self, text: str) -> int:
+        return 0 if text in self.strict else allowed(len(text))
 
     @cached_property
-    def trie(self) -> dict:
-        root: dict = {}
-        for text, stem in self.entries:
-            errors = 0 if stem else allowed(len(text))
-            node = root
-            node["most"] = max(errors, node.get("most", 0))
-            for c in text:
-                node = node.setdefault(c, {})
-                node["most"] = max(errors, node.get("most", 0))
-            node[""] = max(errors, node.get("", -1)) if not stem else node.get("", -1)
-            if stem:
-                node[" "] = True
-        return root
+    def whole(self) -> dict[int, dict]:
+        """A trie of all words for each number of errors that they may have."""
+        out: dict[int, dict] = {0: {}, 1: {}, 2: {}}
+        for text, severity in self.words.items():
+            _insert(out[self.allowed(text)], text, severity)
+        return out
+
+    def _exact(self, token: str) -> float:
+        """Severity of the entry that is the token or a stem of it, 0 if there is none."""
+        return max(self.words.get(token, 0.0), *(self.stems.get(token[:n], 0.0) for n in self.stem_sizes if n <= len(token)), 0.0)
 
     def errors(self, token: str) -> int:
-        """Fewest errors with which some entry accepts the token, -1 if none does, by a walk of the whole trie."""
-        best = -1
-        stack = [(self.trie, list(range(len(token) + 1)), 0)]
-        while stack:
-            node, row, depth = stack.pop()
-            if " " in node and depth <= len(token) and row[depth] == 0:
-                return 0
-            if row[-1] <= node.get("", -1) and (best < 0 or row[-1] < best):
-                best = row[-1]
-            for c, child in node.items():
-                if len(c) != 1 or c == " ":
-                    continue
-                after = [row[0] + 1]
-                for j, t in enumerate(token, 1):
-                    after.append(min(after[-1] + 1, row[j] + 1, row[j - 1] + (t != c)))
-                if min(after) <= child["most"]:
-                    stack.append((child, after, depth + 1))
-        return best
+        """Fewest errors with which some entry accepts the token, -1 if none does, by walks of the whole tries."""
+        if self._exact(token):
+            return 0
+        return min((e for errors, trie in self.whole.items() for *_, e in accepted(trie, token, errors)), default=-1)
 
-    def of(self, chunk: str) -> int:
-        """Errors of a run of non-space characters, without the punctuation at its ends; -1: no hit.
+    def of(self, chunk: str) -> tuple[float, int, str]:
+        """(what a hit counts, its errors, the entry) of a run of non-space characters, without the punctuation at its ends; (0, -1, ""): no hit.
 
         With at most e errors some segment i of an entry is intact after i errors at most, and before e - i at most.
         """
         token = _EDGE.sub("", chunk)
         size = len(token)
-        if token in self.words or any(token[:n] in self.stems for n in self.stem_sizes if n <= size):
-            return 0
-        best, tried = -1, set()
+        if severity := self._exact(token):
+            return severity, 0, token
+        best, tried = (0.0, -1, ""), set()
+        if token in self.own:
+            return best
         for other in range(size - 2, size + 3):
             errors, shift = self.sizes.get(other, 0), size - other
             if abs(shift) > errors or not errors:
                 continue
             for i, (at, n) in enumerate(segments(other, errors)):
                 for p in range(max(0, at - i, at + shift - (errors - i)), min(size - n, at + i, at + shift + (errors - i)) + 1):
-                    for word in self.index.get((other, i, token[p : p + n]), ()):
-                        if word not in tried:
-                            tried.add(word)
-                            if (d := distance(token, word, errors)) <= errors and (best < 0 or d < best):
-                                best = d
+                    key = (other, i, token[p : p + n])
+                    if key in self.tries and key not in tried:
+                        tried.add(key)
+                        for severity, text, e in accepted(self.tries[key], token, errors):
+                            best = max(best, (severity * DISCOUNT**e, e, text))
         return best
 
-    def hits(self, words: list[str]) -> list[tuple[int, int]]:
-        """(place, errors) of the hits among words."""
+    def hits(self, words: list[str]) -> list[tuple[int, float, int, str]]:
+        """(place, what it counts, errors, entry) of the hits among words."""
         known = self.known
-        for w in [w for w in set(words) if w not in known]:
-            if len(known) >= KEPT:
-                known.clear()
-                return self.hits(words) if len(words) < KEPT else [(i, e) for i, w in enumerate(words) if (e := self.of(w)) >= 0]
-            known[w] = self.of(w)
-        found = [known[w] for w in words]
-        return [(i, e) for i, e in enumerate(found) if e >= 0]
-
-
-def quoting(words: list[str], at: int) -> bool:
-    """Whether the context of a hit quotes it: marks on both sides, or a word of reporting shortly before."""
-    left, right = words[max(0, at - WINDOW) : at], words[at + 1 : at + 1 + WINDOW]
-    before = sum(len(QUOTES.findall(w)) for w in left) + len(QUOTES.findall(words[at][: len(words[at]) // 2 + 1]))
-    after = sum(len(QUOTES.findall(w)) for w in right) + len(QUOTES.findall(words[at][len(words[at]) // 2 + 1 :]))
-    return (before > 0 and after > 0) or any(_EDGE.sub("", w) in REPORTING for w in left[-3:])
-
-
-def features(lexicon: Lexicon, text: str | None) -> list[float]:
+        if len(known) > KEPT:
+            known.clear()
+        for w in set(words):
+            if w not in known:
+                known[w] = self.of(w)
+        return [(i, *found) for i, w in enumerate(words) if (found := known[w])[0] > 0]
+
+
+def quotation(words: list[str], at: int) -> float:
+    """How far the window around a hit quotes it, from 0 to nearly 1: marks on both sides and words of reporting before it, the
+    nearer the more; half as much where someone is addressed."""
+    half = len(words[at]) // 2 + 1
+    near = lambda d: 1 - d / (WINDOW + 1)
+    left = list(enumerate(reversed(words[max(0, at - WINDOW) : at]), 1))
+    right = list(enumerate(words[at + 1 : at + 1 + WINDOW], 1))
+    before = max([near(d) for d, w in left if QUOTES.search(w)] + [1.0 if QUOTES.search(words[at][:half]) else 0.0])
+    after = max([near(d) for d, w in right if QUOTES.search(w)] + [1.0 if QUOTES.search(words[at][half:]) else 0.0])
+    told = max([near(d) for d, w in left if _EDGE.sub("", w) in REPORTING], default=0.0)
+    out = 1 - (1 - MARKED * min(before, after)) * (1 - REPORTED * told)
+    return out * (1 - ADDRESSED) if any(_EDGE.sub("", w) in ADDRESS for _, w in left + right) else out
+
+
+def features(lexicon: Lexicon, text: str | None) -> tuple[list[float], int, int]:
+    """What the hits count (all together, the most, for each word), how many they are, and how many of them are misspelled."""
     words = (text or "").lower().split()
-    counts = [0, 0, 0, 0]
-    for at, errors in lexicon.hits(words):
-        counts[2 * (errors > 0) + quoting(words, at)] += 1
-    return [*np.log1p(counts), float(sum(counts) > 0), 100.0 * sum(counts) / max(20, len(words))]
+    found = lexicon.hits(words)
+    counts = [value * (1 - quotation(words, at)) for at, value, *_ in found]
+    total = sum(counts)
+    return [float(np.log1p(total)), max(counts, default=0.0), 10.0 * total / max(20, len(words))], len(found), sum(e > 0 for _, _, e, _ in found)
 
 
 def sample(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
@@ -161,8 +208,8 @@ def sample(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     return stored(kinds[0].union(kinds[1]), "toxic-sample")
 
 
-def mined(train: DataFrame, toxic: int, clean: int) -> list[tuple[str, bool]]:
-    """Entries from rows (text, toxic): whole words, or stems where many words share one."""
+def mined(train: DataFrame, toxic: int, clean: int) -> list[Entry]:
+    """Entries from rows (text, toxic): whole words, or stems where many words share one; severity grows with the odds."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = re.compile(r"[^\W\d_]+").findall
@@ -178,8 +225,11 @@ def mined(train: DataFrame, toxic: int, clean: int) -> list[tuple[str, bool]]:
     stems = words.select(F.explode(forms).alias("form"), "word", "toxic", "clean").where("form is not null")
     each = stems.groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.max(F.struct("toxic", "word")).alias("top"))
     odds = ((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("clean") + 0.5) / (clean + 1))
-    good = each.where((F.col("toxic") >= LEAST) & (odds >= ODDS)).orderBy(F.desc("toxic"), "form")
-    counts = {r.form: (r.toxic, r.top.toxic, r.top.word) for r in good.collect()}  # of the bounded sample
+    # odds of ODDS make a severity of a half, ten times as many nearly all of it
+    good = each.withColumn("odds", odds).where((F.col("toxic") >= LEAST) & (F.col("odds") >= ODDS)).orderBy(F.desc("toxic"), "form")
+    found = good.collect()  # of the bounded sample
+    counts = {r.form: (r.toxic, r.top.toxic, r.top.word) for r in found}
+    severity = {r.form: float(r.odds / (r.odds + ODDS)) for r in found}
     under: dict[str, list[str]] = {}
     for form in counts:
         if not form.endswith("$"):
@@ -198,57 +248,91 @@ def mined(train: DataFrame, toxic: int, clean: int) -> list[tuple[str, bool]]:
     for form in counts:
         if form.endswith("$") and not stemmed(form):
             out[(form[:-1], False)] = None
-    return list(out)
+    return [(text, stem, severity[text if stem else f"{text}$"]) for text, stem in out]
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Weights and intercept of a ridge logistic regression, by Newton's method."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+def _newton(x: np.ndarray, y: np.ndarray, k: np.ndarray, ridge: float, rounds: int) -> np.ndarray:
     w, penalty = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w)), x.T @ (p - y) + penalty @ w)
+        step = np.linalg.solve((x * (k * p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w)), x.T @ (k * (p - y)) + penalty @ w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[tuple[str, bool]], np.ndarray]:
-    """Lexicon entries and weights from documents and labels (doc_id, toxic)."""
+def fit(x: np.ndarray, y: np.ndarray, k: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+    """Weights, none of them negative, and intercept of a ridge logistic regression of rows that count k times, by Newton's method.
+
+    Features whose weight comes out negative are left out and the others fitted again.
+    """
+    kept = list(range(x.shape[1]))
+    while True:
+        found = _newton(np.hstack([x[:, kept], np.ones((len(x), 1))]), y, k, ridge, rounds)
+        if (found[:-1] >= 0).all():
+            out = np.zeros(x.shape[1] + 1)
+            out[[*kept, -1]] = found
+            return out
+        kept = [f for f, w in zip(kept, found, strict=False) if w >= 0]
+
+
+def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[Lexicon, np.ndarray]:
+    """The lexicon and the weights from documents and labels (doc_id, toxic)."""
     ids = sample(labels, most)
     n = {r.toxic: r["count"] for r in ids.groupBy("toxic").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
         p = min(max(toxic / max(1, toxic + clean), 1e-9), 1 - 1e-9)
-        return [], np.array([0.0] * FEATURES + [np.log(p / (1 - p))])
+        return Lexicon([]), np.array([0.0] * FEATURES + [np.log(p / (1 - p))])
     # the sample is bounded: 2 * most rows of two numbers
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    train = picked.join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    train = stored(picked.join(F.broadcast(ids), "doc_id").select("text", "toxic"), "toxic-texts")
     entries = mined(train, toxic, clean)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def misspelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(entries)
         for b in batches:
-            rows = [features(lexicon, t) for t in b.column(0).to_pylist()]
+            found: Counter = Counter()
+            for t in b.column(0).to_pylist():
+                words = (t or "").lower().split()
+                found.update({(_EDGE.sub("", words[at]), entry) for at, _, errors, entry in lexicon.hits(words) if errors > 0})
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([e for _, e in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["token", "entry", "n"])
+
+    near = train.where("toxic = 0").select("text").mapInArrow(misspelled, "token string, entry string, n long").groupBy("token", "entry").agg(F.sum("n").alias("n"))
+    tokens, others = Counter(), Counter()
+    pairs = near.collect()  # of the bounded sample
+    for r in pairs:
+        tokens[r.token] += r.n
+    for r in pairs:
+        others[r.entry] += r.n if tokens[r.token] < CLEAN else 0
+    own = frozenset(t for t, n in tokens.items() if n >= CLEAN)
+    strict = frozenset(e for e, n in others.items() if n >= CLEAN)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(entries, own, strict)
+        for b in batches:
+            rows = [features(lexicon, t)[0] for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "x"])
 
-    # equal feature vectors are counted, so the driver gets a few distinct ones
+    # at most 2 * most rows, equal ones counted
     seen = train.mapInArrow(run, "toxic int, x array<double>").groupBy("toxic", "x").count().collect()
-    x, y, k = np.array([r.x for r in seen]), np.array([r.toxic for r in seen], float), np.array([r["count"] for r in seen])
-    return entries, fit(np.repeat(x, k, axis=0), np.repeat(y, k))
+    x, y, k = np.array([r.x for r in seen]), np.array([r.toxic for r in seen], float), np.array([r["count"] for r in seen], float)
+    return Lexicon(entries, own, strict), fit(x, y, k)
 
 
-def score(docs: DataFrame, entries: list[tuple[str, bool]], weights: np.ndarray) -> DataFrame:
-    """doc_id, score, predicted and hits of every row."""
+def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray) -> DataFrame:
+    """doc_id, score, predicted, hits and misspelled (hits with errors) of every row."""
+    entries, own, strict = lexicon.entries, lexicon.own, lexicon.strict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(entries)
+        lexicon = Lexicon(entries, own, strict)
         for b in batches:
-            x = np.array([features(lexicon, t) for t in b.column(1).to_pylist()]).reshape(-1, FEATURES)
+            found = [features(lexicon, t) for t in b.column(1).to_pylist()]
+            x = np.array([f for f, _, _ in found]).reshape(-1, FEATURES)
             p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -500, 500)))
-            hits = np.rint(np.expm1(x[:, :4]).sum(axis=1)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(hits)], ["doc_id", "score", "predicted", "hits"])
+            counts = [pa.array([f[k] for f in found], pa.int64()) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *counts], ["doc_id", "score", "predicted", "hits", "misspelled"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int, hits long")
+    return rows.mapInArrow(run, "doc_id long, score double, predicted int, hits long, misspelled long")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidekeep.llm.common import stored
+from tidekeep.sources.shared import stored
 
 #: (rule, verdict) of the contract.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -82,21 +82,33 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return each.join(rarest, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0).select("url").distinct()
 
 
+def _verdict(rules: tuple[tuple[str, str], ...]) -> Column:
+    out = F.lit(None).cast("string")
+    for rule, verdict in rules:
+        out = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(out)
+    return out
+
+
+def listed_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+    """url and block (boolean) of the pages that the list judges: labels from which rules for the others are mined."""
+    url = F.col("url").cast("string")
+    judged = pages.select(url.alias("url"), host(url).alias("host"), path(url).alias("path")).withColumn("rule", listed(rules))
+    return judged.where("rule is not null").select("url", (_verdict(rules) == "block").alias("block"))
+
+
 def url_filter(pages: DataFrame, labels: DataFrame | None = None, rules: tuple[tuple[str, str], ...] = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """pages with host, path, rule and verdict.  labels: page_id and block (boolean), from which rules are mined."""
+    """pages with host, path, rule, verdict and mined (whether a mined rule gave it).  labels: url and block (boolean), from which rules are mined."""
     url = F.col("url").cast("string")
-    judged = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host(url), "path": path(url)}).withColumn("rule", listed(rules))
-    own = F.lit(None).cast("string")
-    for rule, verdict in rules:
-        own = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(own)
-    judged = judged.withColumn("verdict", own)
+    judged = pages.drop("host", "path", "rule", "verdict", "mined").withColumns({"host": host(url), "path": path(url)}).withColumn("rule", listed(rules))
+    judged = judged.withColumn("verdict", _verdict(rules))
     found = None
     if labels is not None:
-        known = pages.select("page_id", url.alias("url")).join(labels.select("page_id", "block").where("block is not null"), "page_id")
-        found = mine(known.select(tokens(host(F.col("url")), path(F.col("url"))).alias("tokens"), "block"), support, confidence)
+        known = labels.where("block is not null").select(tokens(host(url), path(url)).alias("tokens"), "block")
+        found = mine(known, support, confidence)
     if found is None or found.isEmpty():
-        return judged.withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
+        return judged.withColumns({"verdict": F.coalesce("verdict", F.lit("allow")), "mined": F.lit(False)})
     distinct = judged.where("rule is null and url is not null").select("url", tokens(F.col("host"), F.col("path")).alias("tokens")).distinct()
     hits = matched(distinct, found).withColumnRenamed("url", "_hit")
     out = judged.join(hits, judged["url"] == F.col("_hit"), "left")
-    return out.withColumn("verdict", F.coalesce("verdict", F.when(F.col("_hit").isNotNull(), "block").otherwise("allow"))).drop("_hit")
+    mined = F.col("rule").isNull() & F.col("_hit").isNotNull()
+    return out.withColumns({"verdict": F.coalesce("verdict", F.when(F.col("_hit").isNotNull(), "block").otherwise("allow")), "mined": mined}).drop("_hit")
