@@ -66,6 +66,61 @@ def test_lru2_promotes(spark):
     assert not s.get("c", 0)
 
 
+def test_store_rules(spark):
+    s = cachesim.Store(StoreOptions("no such kind", 10, 1, clean_us=100))
+    for k in range(50):
+        s.set(f"k{k}", 90, 0)
+    assert len(s) == 50 and s.counts["evictions"] == 0
+    s.set("late", 1, 5, 5), s.set("early", 1, 5, 4)
+    assert len(s) == 51 and s.scan(4)[-1] == ("early", 5) and len(s.scan(5)) == 50
+    s.pass_time(4), s.pass_time(99)
+    assert len(s) == 51
+    s.pass_time(100)
+    assert len(s) == 50 and s.counts["expirations"] == 1
+    s.clear()
+    assert len(s) == 0 and s.summary()["used"] == 0
+    s = cachesim.Store(StoreOptions("lru2", 1000, 1))
+    s.set("a", 9, 70), s.get("a", 0), s.set("b", 9, 0)
+    assert s.scan(10) == [("b", 0), ("a", 70)]
+    rows = [(i, "set", f"k{i}", 9, 10, t) for i, t in enumerate([0, 5, -3, 100, 7])] + [(9, "get", "k0", 9, 10, 0)]
+    made = spark.createDataFrame(rows, "seq long, op string, key string, size long, ts long, ttl long")
+    found = lambda *a: [(r.key, r.ttl_us) for r in cachesim.scan(made, StoreOptions("lru2", 10_000, 4), 15, *a).collect()]
+    assert found() == [("k0", 0), ("k3", 95), ("k4", 2)] and found("k0", 1) == [("k3", 95)]
+
+
+def test_lru_against_a_list(spark):
+    """A trace with sets, deletes and ends, against a list of entries from the oldest to the newest."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["get", "get", "set", "delete"]), f"k{rng.randrange(30)}", rng.randrange(10, 60), 10 * i, rng.choice([0, 0, 300])) for i in range(1500)]
+    entries, hits, evicted = [], 0, 0
+    for _, op, key, size, ts, ttl in rows:
+        at = next((n for n, e in enumerate(entries) if e[0] == key), None)
+        end = ts + ttl if ttl else 0
+        if op == "delete":
+            entries = [e for e in entries if e[0] != key]
+            continue
+        if op == "get":
+            if at is not None and not (entries[at][2] and entries[at][2] <= ts):
+                hits += 1
+                entries.append(entries.pop(at))
+                continue
+            if at is not None:
+                entries.pop(at)
+                at = None
+        fresh = at is None
+        if not fresh:
+            entries.pop(at)
+        entries.append((key, size, end))
+        while fresh and sum(e[1] for e in entries) > 400:
+            entries.pop(0)
+            evicted += 1
+    made = spark.createDataFrame(rows, "seq long, op string, key string, size long, ts long, ttl long")
+    r = cachesim.simulate(made, StoreOptions("lru", 400, 1)).first()
+    assert (r.hits, r.evictions, r.resident, r.used) == (hits, evicted, len(entries), sum(e[1] for e in entries))
+
+
 def test_snowflake(spark):
     r = spark.range(5).select(snowflake(F.lit(1767225600123), F.lit(7), F.col("id")).alias("v"))
     assert [tuple(x) for x in r.select(*snowflake_parts(F.col("v"))).collect()] == [(1767225600123, 7, i) for i in range(5)]

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidekeep.functions import live, remaining_ms, snowflake
+from tidekeep.functions import SEQUENCE_BITS, live, remaining_ms, snowflake
 from tidekeep.sources.shared import stored
 
 #: Operations of a key beyond which its history isn't held as one array.
@@ -44,9 +44,9 @@ def stale_writes(ops: DataFrame) -> DataFrame:
 
 
 def _fold(ops: DataFrame) -> DataFrame:
-    step = """aggregate(array_sort(collect_list(struct(seq, version, ts, ttl, tombstone))),
+    step = """aggregate(array_sort(collect_list(struct(seq, version, ts, ttl, tombstone, strict))),
         named_struct('seq', -1L, 'version', -1L, 'exp', 0L, 'tombstone', false),
-        (a, x) -> if(a.seq >= 0 and (a.exp = 0 or a.exp > x.ts) and x.version < a.version, a,
+        (a, x) -> if(a.seq >= 0 and (a.exp = 0 or a.exp > x.ts) and (x.version < a.version or x.strict and x.version = a.version), a,
             named_struct('seq', x.seq, 'version', x.version, 'exp', if(x.ttl > 0, x.ts + x.ttl, 0L), 'tombstone', x.tombstone)))"""
     return ops.groupBy("key").agg(F.expr(step).alias("w")).select("key", "w.*")
 
@@ -59,12 +59,12 @@ def _stream_fold(ops: DataFrame) -> DataFrame:
         key, state = None, None
         for b in batches:
             done = []
-            for k, seq, version, ts, ttl, dead in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for k, seq, version, ts, ttl, dead, strict in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if k != key or state is None:
                     if state is not None:
                         done.append((key, *state))
                     key, state = k, None
-                if state is None or not ((state[2] == 0 or state[2] > ts) and version < state[1]):
+                if state is None or not ((state[2] == 0 or state[2] > ts) and (version < state[1] or strict and version == state[1])):
                     state = (seq, version, ts + ttl if ttl > 0 else 0, dead)
             if done:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, d, strict=True)) for d in done])
@@ -72,16 +72,19 @@ def _stream_fold(ops: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(names, (key, *state), strict=True))])
 
     names = ["key", "seq", "version", "exp", "tombstone"]
-    rows = ops.select("key", "seq", "version", "ts", "ttl", "tombstone")
+    rows = ops.select("key", "seq", "version", "ts", "ttl", "tombstone", "strict")
     return rows.repartition("key").sortWithinPartitions("key", "seq").mapInArrow(run, "key string, seq long, version long, exp long, tombstone boolean")
 
 
 def ttl_fold(ops: DataFrame, hot: int = HOT) -> DataFrame:
     """Last accepted write of each key in log order, where an expired entry no longer guards its version.
 
-    Keys with more than `hot` operations (at most one in `hot` of all rows) are folded as a stream instead of an array.
+    A set or delete of an equal version is accepted, an entry of a batch (column `batch`, if there is one) only with a higher
+    one; a write that has ended on arrival (a negative ttl) changes nothing.  Keys with more than `hot` operations (at most
+    one in `hot` of all rows) are folded as a stream instead of an array.
     """
-    rows = ops.select("key", "seq", "version", "ts", "ttl", "tombstone")
+    strict = F.coalesce(F.col("batch"), F.lit(False)) if "batch" in ops.columns else F.lit(False)
+    rows = ops.where(F.coalesce("ttl", F.lit(0)) >= 0).select("key", "seq", "version", "ts", "ttl", "tombstone", strict.alias("strict"))
     many = rows.groupBy("key").count().where(F.col("count") > hot).select("key")
     return _fold(rows.join(many, "key", "left_anti")).unionByName(_stream_fold(rows.join(many, "key", "left_semi")))
 
@@ -204,12 +207,16 @@ def read_owned(keys: DataFrame, caches: DataFrame, origin: DataFrame, me: str) -
 
 
 def generated(rows: DataFrame, order: str = "seq") -> DataFrame:
-    """rows (ms, worker) with a version each: a sequence number within the worker's millisecond, in the given order.
+    """rows (ms, worker) with a version each, in the given order: a sequence number within the worker's millisecond.
 
-    Raises where a worker makes more than 4096 in one millisecond.
+    A worker that has used up a millisecond's 4096 numbers waits for the next one, and a clock that falls back waits for the
+    last one: places are numbered on, and a place is the greater of the row's own time and the one after the last place.
     """
-    n = F.row_number().over(Window.partitionBy("worker", "ms").orderBy(order)) - 1
-    return rows.withColumn("version", snowflake(F.col("ms"), F.col("worker"), n))
+    each = 1 << SEQUENCE_BITS
+    number = F.row_number().over(Window.partitionBy("worker").orderBy(order))
+    ahead = Window.partitionBy("worker").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("_n", number).withColumn("_place", F.max(F.col("ms") * each - F.col("_n")).over(ahead) + F.col("_n"))
+    return placed.withColumn("version", snowflake(F.floor(F.col("_place") / each), F.col("worker"), F.pmod("_place", F.lit(each)))).drop("_n", "_place")
 
 
 def request_rows(ops: DataFrame, shadow: DataFrame) -> DataFrame:

@@ -123,6 +123,12 @@ def kv_ttl_fold(spark: SparkSession, d: str) -> DataFrame:
     return kv.ttl_fold(oplog(spark, d))
 
 
+@registered(sql.query(sql.ops(97), sql.MIXED, select="SELECT key, seq, version, exp, tombstone FROM folded"))
+def kv_mixed_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Sets and deletes, and every third operation as an entry of a batch, in one log."""
+    return kv.ttl_fold(oplog(spark, d, 97).withColumn("batch", F.col("seq") % 3 == 0))
+
+
 @registered(sql.query(sql.ops(), sql.FOLD, select=f"SELECT key, version, CAST(floor((exp - {NOW_SQL}) / 1000) AS BIGINT) AS ttl_ms FROM folded WHERE exp > {NOW_SQL}"))
 def kv_remaining_ttl(spark: SparkSession, d: str) -> DataFrame:
     ops = oplog(spark, d)
@@ -487,6 +493,12 @@ def _trace(spark: SparkSession, d: str) -> DataFrame:
     return rows.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.lit("get").alias("op"), key.alias("key"), (F.octet_length(key) + 25).alias("size"), F.lit(0).alias("ts"), F.lit(0).alias("ttl"))
 
 
+@registered("SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS key, 0 AS ttl_us FROM lineitem WHERE CAST(l_partkey AS VARCHAR) > '15'")
+def lru2_scan(spark: SparkSession, d: str) -> DataFrame:
+    """What a store of two tiers that is large enough holds after the trace, in both tiers."""
+    return cachesim.scan(_trace(spark, d), StoreOptions("lru2", 1 << 40, 32), 0, "15")
+
+
 @registered(None)
 def lru2_sim(spark: SparkSession, d: str) -> DataFrame:
     return cachesim.simulate(_trace(spark, d), StoreOptions("lru2", 16_384, 32))
@@ -538,6 +550,13 @@ def wal_retention(spark: SparkSession, d: str) -> DataFrame:
     return wal.retention(files, 40, 10)
 
 
+@registered("SELECT 'wal.log.' || lpad(CAST(s_suppkey AS VARCHAR), 14, '0') AS file FROM supplier WHERE s_suppkey % 3 > 0 ORDER BY file")
+def wal_listed(spark: SparkSession, d: str) -> DataFrame:
+    """Rotated files of one log among those of another."""
+    name = F.when(F.col("s_suppkey") % 3 > 0, "wal.log.").otherwise("other.log.")
+    return wal.listed(table(spark, d, "supplier").select(F.concat(name, F.lpad(F.col("s_suppkey").cast("string"), 14, "0")).alias("file")), "wal.log")
+
+
 # ---- further reads, versions, transfers
 
 
@@ -574,6 +593,18 @@ def snowflake_generate(spark: SparkSession, d: str) -> DataFrame:
     return kv.generated(rows).select("seq", "version")
 
 
+@registered(
+    sql.query(
+        "r AS (SELECT l_orderkey * 8 + l_linenumber AS seq, l_orderkey // 20000 AS ms, row_number() OVER (ORDER BY l_orderkey * 8 + l_linenumber) AS n FROM lineitem)", "p AS (SELECT seq, n + max(ms * 4096 - n) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) AS place FROM r)",
+        select="SELECT seq, ((place // 4096) << 22) | (3 << 12) | (place % 4096) AS version FROM p",
+    )
+)
+def snowflake_waits(spark: SparkSession, d: str) -> DataFrame:
+    """One worker makes more versions than its milliseconds have."""
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), (F.lit(1767225600000) + F.floor(F.col("l_orderkey") / 20000)).alias("ms"), F.lit(3).alias("worker"))
+    return kv.generated(rows).select("seq", "version")
+
+
 @registered(sql.query(sql.CRC, "j AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) || '-' || CAST(event_id AS VARCHAR) AS s FROM events)", select=f"SELECT seq, 300000 + {sql.crc('s')} % 120000 - 60000 AS ttl_ms FROM j, tt"))
 def ttl_jitter(spark: SparkSession, d: str) -> DataFrame:
     ops = oplog(spark, d)

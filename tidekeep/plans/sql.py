@@ -32,6 +32,9 @@ fold(key, rn, seq, version, exp, tombstone) AS (SELECT key, rn, seq, version, ts
   FROM fold f JOIN num n ON n.key = f.key AND n.rn = f.rn + 1),
 folded AS (SELECT key, seq, version, exp, tombstone FROM fold QUALIFY row_number() OVER (PARTITION BY key ORDER BY rn DESC) = 1)"""
 
+# The same where every third operation is an entry of a batch, which wins with a higher version only.
+MIXED = FOLD.replace("n.version < f.version", "(n.version < f.version OR n.seq % 3 = 0 AND n.version = f.version)")
+
 
 def node_rows(*statuses: str) -> str:
     from tidekeep.sources.tables import NODES

@@ -4,34 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-OPS = "seq bigint, op string, grp string, key string, value string, version bigint, ttl_ms bigint, ts_us bigint"
-ENTRY = "grp string, key string, value string, ttl_ms bigint, version bigint, tombstone boolean"
 WAL = "file string, pos bigint, type tinyint, key string, value binary, ttl_ns bigint, version bigint, expired_at_ns bigint"
-TASK = "id string, grp string, key string, value string, attempt int, ttl_ns bigint, version bigint, option string, next_run_at bigint, created_at bigint, updated_at bigint, last_err string, leased_until bigint"
-NODE = "addr string, status string"
-STATE = "state string, epoch bigint, pending boolean, owner string, updated_ms bigint"
 
 
 @dataclass(frozen=True)
 class StoreOptions:
-    """A bounded store: kind is simple, lru or lru2; both tiers of lru2 get max_bytes."""
+    """A bounded store: kind is lru or lru2, any other is simple (unbounded); both tiers of lru2 get max_bytes.
+
+    clean_us: how often entries that have ended are swept out, in the trace's time (0: only when they are asked for).
+    """
 
     kind: str = "lru2"
     max_bytes: int = 1 << 20
     shards: int = 32
     touch_on_get: bool = False
-
-
-@dataclass(frozen=True)
-class EngineOptions:
-    """Times in milliseconds, sizes in rows."""
-
-    tombstone_ms: int = 300_000
-    backfill_ms: int = 300_000
-    negative_ms: int = 30_000
-    request_ttl_ms: int = 5_000
-    replicas: int = 50
-    page: int = 256
-    lease_ms: int = 30_000
-    attempts: int = 10
-    gc_grace_ms: int = 300_000
+    clean_us: int = 0
