@@ -10,8 +10,9 @@ import json
 
 import numpy as np
 
+from tidekeep.llm.table import Table
+
 NONE = np.iinfo(np.int32).max
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def byte_names() -> list[str]:
@@ -37,43 +38,11 @@ class Merges:
         self.inner, self.last = (np.array([vocabulary[n + x] for n in names], np.int64) for x in ("", end))
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         left, right, made = (np.array([vocabulary[x] for x in part], np.int64) for part in (*zip(*pairs, strict=True), [a + b for a, b in pairs]))
-        self.made, self.bits = made, 18
-        keys = left << 32 | right
-        while not self._fill(keys):
-            self.bits += 1
-
-    def _fill(self, keys: np.ndarray) -> bool:
-        size, slots = 1 << self.bits, self._slot(keys)
-        self.keys, self.ranks, self.probes = np.full(size, -1, np.int64), np.full(size, NONE, np.int32), 1
-        waiting = np.arange(len(keys))
-        while len(waiting):
-            at = (slots[waiting] + self.probes - 1) & (size - 1)
-            free = np.flatnonzero(self.keys[at] < 0)
-            _, first = np.unique(at[free], return_index=True)
-            taken = free[first]
-            self.keys[at[taken]], self.ranks[at[taken]] = keys[waiting[taken]], waiting[taken]
-            waiting = np.delete(waiting, taken)
-            self.probes += len(waiting) > 0
-        return self.probes <= 12
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * _MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.made, self.ranks = made, Table(left << 32 | right, np.arange(len(pairs), dtype=np.int32), NONE)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of symbols, NONE where there is no merge (or no symbol: -1)."""
-        keys = left << 32 | right
-        out = np.full(len(keys), NONE, np.int32)
-        where, slots = np.flatnonzero((left >= 0) & (right >= 0)), None
-        slots = self._slot(keys[where])
-        for _ in range(self.probes):
-            there = self.keys[slots]
-            hit = there == keys[where]
-            out[where[hit]] = self.ranks[slots[hit]]
-            on = ~hit & (there >= 0)
-            where, slots = where[on], (slots[on] + 1) & (len(self.keys) - 1)
-            if not len(where):
-                break
-        return out
+        return np.where((left >= 0) & (right >= 0), self.ranks.get(left << 32 | right & 0xFFFFFFFF), NONE)
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and how many each has.  Words are lower-cased runs of letters, none of them empty."""
