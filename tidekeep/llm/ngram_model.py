@@ -117,7 +117,8 @@ def levels(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
         by_order.insert(0, by_order[0].groupBy("lang", _low(n).alias("g")).agg(F.count("*").alias("c")))
     out: list[tuple[DataFrame, DataFrame]] = []
     for n, level in enumerate(by_order, 1):
-        level = stored(level.join(discounts(level), "lang"), f"level{n}")
+        # a row for each language with a model
+        level = stored(level.join(F.broadcast(discounts(level)), "lang"), f"level{n}")
         off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         level = level.withColumns({"h": F.shiftrightunsigned("g", BITS), "off": F.least(off, F.col("c"))})
         context = level.groupBy("lang", "h").agg(F.sum("c").alias("total"), F.sum("off").alias("free"), F.count("*").alias("kinds"))
