@@ -25,9 +25,10 @@ whole; an empty table gives an empty table; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -47,8 +48,8 @@ CLEAN = 2
 #: Letters from which an entry may have one error, and two; what a hit keeps for each error.
 WORD, LONG, DISCOUNT = 5, 9, 0.6
 STEM = range(4, 9)
-#: Tokens around a hit that are its context, and tokens that a worker keeps.
-WINDOW, KEPT = 6, 400_000
+#: Tokens around a hit that are its context; tokens that a worker keeps, and their longest.
+WINDOW, KEPT, KEPT_LENGTH = 6, 400_000, 40
 #: What marks around a hit, a word of reporting before it, and someone addressed near it change.
 MARKED, REPORTED, ADDRESSED = 0.7, 0.6, 0.5
 QUOTES = re.compile("[\"“”„«»‹›]")
@@ -114,11 +115,15 @@ class Lexicon:
         #: Tries by (length, segment, its characters), and the errors by length.
         self.tries: dict[tuple[int, int, str], dict] = {}
         self.sizes: dict[int, int] = {}
+        self.cuts: dict[int, list[tuple[int, int]]] = {}
         for text, severity in self.words.items():
             if errors := self.allowed(text):
                 self.sizes[len(text)] = errors
-                for i, (at, n) in enumerate(segments(len(text), errors)):
+                self.cuts[len(text)] = list(segments(len(text), errors))
+                for i, (at, n) in enumerate(self.cuts[len(text)]):
                     _insert(self.tries.setdefault((len(text), i, text[at : at + n]), {}), text, severity)
+        #: What is found for tokens, and for runs of characters that have such a token within.
+        self.tokens: dict[str, tuple[float, int, str]] = {}
         self.known: dict[str, tuple[float, int, str]] = {}
 
     def allowed(self, text: str) -> int:
@@ -143,11 +148,22 @@ class Lexicon:
         return min((e for errors, trie in self.whole.items() for *_, e in accepted(trie, token, errors)), default=-1)
 
     def of(self, chunk: str) -> tuple[float, int, str]:
-        """(what a hit counts, its errors, the entry) of a run of non-space characters, without the punctuation at its ends; (0, -1, ""): no hit.
+        """(what a hit counts, its errors, the entry) of a run of non-space characters, without the punctuation at its ends; (0, -1, ""): no hit."""
+        token = _EDGE.sub("", chunk)
+        if len(token) > KEPT_LENGTH:
+            return self._of(token)
+        if len(self.tokens) > KEPT:
+            self.tokens.clear()
+        found = self.tokens.get(token)
+        if found is None:
+            found = self.tokens[token] = self._of(token)
+        return found
+
+    def _of(self, token: str) -> tuple[float, int, str]:
+        """What of() says of a token.
 
         With at most e errors some segment i of an entry is intact after i errors at most, and before e - i at most.
         """
-        token = _EDGE.sub("", chunk)
         size = len(token)
         if severity := self._exact(token):
             return severity, 0, token
@@ -158,7 +174,7 @@ class Lexicon:
             errors, shift = self.sizes.get(other, 0), size - other
             if abs(shift) > errors or not errors:
                 continue
-            for i, (at, n) in enumerate(segments(other, errors)):
+            for i, (at, n) in enumerate(self.cuts[other]):
                 for p in range(max(0, at - i, at + shift - (errors - i)), min(size - n, at + i, at + shift + (errors - i)) + 1):
                     key = (other, i, token[p : p + n])
                     if key in self.tries and key not in tried:
@@ -172,10 +188,29 @@ class Lexicon:
         known = self.known
         if len(known) > KEPT:
             known.clear()
+        # long runs aren't kept, so what a worker keeps is bounded in bytes too
+        long = {}
         for w in set(words):
             if w not in known:
-                known[w] = self.of(w)
-        return [(i, *found) for i, w in enumerate(words) if (found := known[w])[0] > 0]
+                (known if len(w) <= KEPT_LENGTH else long)[w] = self.of(w)
+        return [(i, *found) for i, w in enumerate(words) if (found := known.get(w) or long[w])[0] > 0]
+
+
+#: The lexicon that this worker used last, by its digest: tasks of one query share it, and the tokens it has matched.
+_LAST: dict[str, Lexicon] = {}
+
+
+def shared(entries: list[Entry], own: frozenset[str], strict: frozenset[str]) -> Callable[[], Lexicon]:
+    """A function that gives a worker its lexicon, made once for each worker."""
+    digest = hashlib.sha256(repr((entries, sorted(own), sorted(strict))).encode()).hexdigest()
+
+    def get() -> Lexicon:
+        if digest not in _LAST:
+            _LAST.clear()
+            _LAST[digest] = Lexicon(entries, own, strict)
+        return _LAST[digest]
+
+    return get
 
 
 def quotation(words: list[str], at: int) -> float:
@@ -290,8 +325,10 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[Lexic
     train = stored(picked.join(F.broadcast(ids), "doc_id").select("text", "toxic"), "toxic-texts")
     entries = mined(train, toxic, clean)
 
+    plain = shared(entries, frozenset(), frozenset())
+
     def misspelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(entries)
+        lexicon = plain()
         for b in batches:
             found: Counter = Counter()
             for t in b.column(0).to_pylist():
@@ -309,8 +346,10 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[Lexic
     own = frozenset(t for t, n in tokens.items() if n >= CLEAN)
     strict = frozenset(e for e, n in others.items() if n >= CLEAN)
 
+    full = shared(entries, own, strict)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(entries, own, strict)
+        lexicon = full()
         for b in batches:
             rows = [features(lexicon, t)[0] for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "x"])
@@ -323,10 +362,10 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[Lexic
 
 def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray) -> DataFrame:
     """doc_id, score, predicted, hits and misspelled (hits with errors) of every row."""
-    entries, own, strict = lexicon.entries, lexicon.own, lexicon.strict
+    full = shared(lexicon.entries, lexicon.own, lexicon.strict)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(entries, own, strict)
+        lexicon = full()
         for b in batches:
             found = [features(lexicon, t) for t in b.column(1).to_pylist()]
             x = np.array([f for f, _, _ in found]).reshape(-1, FEATURES)
