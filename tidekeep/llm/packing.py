@@ -30,9 +30,9 @@ from tidekeep.sources.shared import stored
 
 #: Tokens of a sequence, width of a length class, and slices in which a class is ranked.
 CAPACITY, UNIT, SLICES = 4096, 16, 64
-#: Words whose tokens a worker holds (some 200 MB), those that it keeps beyond a task or when there are more (the most
+#: Words whose tokens a worker holds (some 80 MB), those that it keeps beyond a task or when there are more (the most
 #: frequent ones), and bytes of texts that are encoded at once (one text at least).
-HELD_WORDS, KEPT_WORDS, BYTES = 1_000_000, 200_000, 12 << 20
+HELD_WORDS, KEPT_WORDS, BYTES = 400_000, 100_000, 4 << 20
 #: Marks that combine with ASCII letters under NFC: texts with them aren't lower-cased ahead.
 _MARK = "[\u0300-\u036f]"
 #: Words that the tokenizer never splits before its merges: Latin letters that stay letters when lower-cased.
@@ -158,6 +158,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = CAPACI
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
         words.trim()  # workers wait between tasks, and other stages need the memory
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
